@@ -8,8 +8,8 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = rf"""
 with d as (select row_number() over () rid, doc_id, coalesce(text, '') t, {WORDS} w from documents),
-chars as (select rid, list_transform(string_split(t, ''), c -> unicode(c)::bigint) c from d where length(t) > 2),
-tri as (select rid, unnest(list_transform(range(1, len(c) - 1), i -> (c[i] * {q.MUL_1} + c[i + 1] * {q.MUL_2} + c[i + 2]) % {q.BUCKETS})) b from chars),
+chars as (select rid, list_transform(string_split(t, ''), lambda x: unicode(x)::bigint) c from d where length(t) > 2),
+tri as (select rid, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * {q.MUL_1} + c[i + 1] * {q.MUL_2} + c[i + 2]) % {q.BUCKETS})) b from chars),
 trusted as (select doc_id from (select distinct doc_id from labels where quality = 1 and doc_id is not null) order by md5(doc_id::varchar), doc_id limit {q.MAX_TRUSTED}),
 counts as (select b, count(*) r, count(*) filter (d.doc_id in (select doc_id from trusted)) t from tri join d using (rid) group by b),
 total as (select sum(r) nr, sum(t) nt from counts),

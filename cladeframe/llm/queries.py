@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import mixing, quality_classifier, quality_rules, secrets, simhash
 from .common import table
 
 
@@ -16,5 +16,25 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, model, ["doc_id"])
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.apply(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = mixing.permuted(docs.select("doc_id", "text", "source")).drop("text")
+    rows = mixing.taken(rows, mixing.plan(rows))
+    return rows.selectExpr("doc_id", "__size as size", "source_size", "target", "__copies * __size as taken")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.apply(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.apply(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
