@@ -27,5 +27,16 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+OP2 = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, h, octet_length(encode(h))::bigint payload_bytes, sha1(h) x from p),
+b as (select *, list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', substr(x, i::bigint + 1, 1)) - 1) n from d),
+o as (select *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((n[1 + (5 * k) // 4] * 16 + coalesce(n[2 + (5 * k) // 4], 0)) // [8, 4, 2, 1][1 + k % 4]) % 32)::bigint, 1)), '') payload_digest from b),
+m as (select *, max(page_id) over (partition by h) w from o)
+select page_id, payload_bytes, payload_digest, case when page_id = w then 'response' else 'revisit' end record_type, case when page_id = w then null else w end refers_to from m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1}
+    return {"op1_quality_rules": OP1, "op2_warc": OP2}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_classifier, quality_rules, secrets, simhash
-from .common import table
+from . import mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
+from .common import shared_dir, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +17,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, model, ["doc_id"])
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), at)
+    return warc.parsed(warc.read(spark, at))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.apply(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.apply(docs, pii.fit(docs), ["doc_id"])
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = mixing.permuted(docs.select("doc_id", "text", "source")).drop("text")
