@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
+from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
 from .common import shared_dir, table
 
 
@@ -44,6 +44,14 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.apply(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.apply(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.apply(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.apply(table(spark, sf_dir, "documents"), ["doc_id"])
 
