@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules as q
+from . import licenses, quality_rules as q
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -38,5 +38,21 @@ select page_id, payload_bytes, payload_digest, case when page_id = w then 'respo
 """
 
 
+SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+
+OP3 = f"""
+with t(k, name, text) as (values {", ".join("(%d, '%s', '%s')" % (k, n, x.replace("'", "''")) for k, (n, x) in enumerate(licenses.TEMPLATES))}),
+tw as (select k, name, {SPLIT} w from t),
+ts as (select distinct k, name, array_to_string(w[i : i + 4], ' ') s from (select k, name, w, unnest(range(1, greatest(len(w) - 3, 2))) i from tw)),
+tn as (select k, count(*) n from ts group by k),
+d as (select row_number() over () rid, doc_id, {SPLIT} w from documents),
+ds as (select distinct rid, array_to_string(w[i : i + 4], ' ') s from (select rid, w, unnest(range(1, len(w) - 3)) i from d)),
+m as (select rid, k, name, count(*) c from ds join ts using (s) group by all),
+f as (select distinct rid, name from m join tn using (k) where c >= {licenses.CONTAINED} * n),
+g as (select rid, count(*) n, string_agg(name, ',' order by name) l from f group by rid)
+select doc_id, coalesce(n, 0)::bigint n_licenses, coalesce(l, '') licenses from d left join g using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op2_warc": OP2}
+    return {"op1_quality_rules": OP1, "op2_warc": OP2, "op3_licenses": OP3}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
+from . import decontamination, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
 from .common import shared_dir, table
 
 
@@ -23,6 +23,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parsed(warc.read(spark, at))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.apply(table(spark, sf_dir, "documents"), ["doc_id"]).drop("matches")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.apply(table(spark, sf_dir, "documents"))
 
