@@ -8,10 +8,14 @@ from .lens import K, M, MIN_SUPPORT
 
 CLEAN = "regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')"
 
+#: A k-mer as a number of digits 0 to 3, and the bucket of such a number.
+NUMBER = f"translate(substr(seq, i, {K}), 'ACGT', '0123')::bigint"
+BUCKET = f"translate(lpad((kmer // {10 ** (K - M)})::varchar, {M}, '0'), '0123', 'ACGT')"
+
 #: Common table expressions, in the order in which they build on each other.
 PARTS = {
     "rec": f"select doc_id rec_no, 'doc_' || doc_id header, {CLEAN} seq from documents",
-    "qry": f"select 'item_' || item_id query, {CLEAN} seq from benchmark union all select header, seq from rec where rec_no % 50 = 0",
+    "qry": f"select item_id qid, 'item_' || item_id query, {CLEAN} seq from benchmark union all select -1 - rec_no, header, seq from rec where rec_no % 50 = 0",
     "lng": "select lang, dense_rank() over (order by lang)::bigint id from (select distinct lang from documents)",
     "src": """select lang, source, support, (dense_rank() over (order by lang, source) + 99)::bigint id, lng.id up
         from (select lang, source, 100 * avg(quality) support from documents left join labels using (doc_id) group by all) join lng using (lang)""",
@@ -22,22 +26,22 @@ PARTS = {
         union all select doc_id + 1000, case when keep then id else up end, 'LEAF' from documents join good using (lang, source)""",
     "inn": "select id node_id, 0::bigint parent_id, 1 depth, exists (select 1 from good where keep and up = lng.id) below from lng union all select id, up, 2, false from good where keep",
     "str": "select rec_no, header, seq from rec union all select rec_no, header, reverse(translate(seq, 'ACGT', 'TGCA')) from rec",
-    "dkm": f"select distinct rec_no, substr(seq, i, {K}) kmer from (select rec_no, seq, unnest(range(1, length(seq) - {K} + 2)) i from str)",
+    "dkm": f"select distinct rec_no, {NUMBER} kmer from (select rec_no, seq, unnest(range(1, length(seq) - {K} + 2)) i from str)",
     "home": "select doc_id rec_no, lng.id l, case when keep then good.id end s from documents join good using (lang, source) join lng using (lang)",
     "ix": "select distinct kmer, node_id from (select kmer, unnest([0, l, s]) node_id from dkm join home using (rec_no)) where node_id is not null",
-    "qst": "select query, seq from qry union all select query, reverse(translate(seq, 'ACGT', 'TGCA')) from qry",
-    "qkm": f"select distinct query, substr(seq, i, {K}) kmer from (select query, seq, unnest(range(1, length(seq) - {K} + 2)) i from qst)",
-    "hit": "select query, kmer, node_id from qkm join ix using (kmer)",
-    "mat": "select query, count(distinct kmer) matched from hit group by query",
-    "h": "select query, parent_id, kmer, node_id from hit join inn using (node_id)",
-    "kk": "select query, parent_id, kmer, count(*) n, min(node_id) only_child from h group by all",
-    "tot": "select query, parent_id, count(*) total from kk group by all",
-    "exc": "select query, only_child node_id, count(*) exclusive from kk where n = 1 group by all",
-    "adh": """select query, parent_id, node_id, one::int one, (total - coalesce(exclusive, 0))::int rest, coalesce(exclusive, 0)::int one_x, (total - one)::int rest_x
-        from (select query, parent_id, node_id, count(*) one from h group by all) join tot using (query, parent_id) left join exc using (query, node_id)""",
+    "qst": "select qid, seq from qry union all select qid, reverse(translate(seq, 'ACGT', 'TGCA')) from qry",
+    "qkm": f"select distinct qid, {NUMBER} kmer from (select qid, seq, unnest(range(1, length(seq) - {K} + 2)) i from qst)",
+    "hit": "select qid, kmer, node_id from qkm join ix using (kmer)",
+    "mat": "select qid, count(distinct kmer) matched from hit group by qid",
+    "h": "select qid, parent_id, kmer, node_id from hit join inn using (node_id)",
+    "kk": "select qid, parent_id, kmer, count(*) n, min(node_id) only_child from h group by all",
+    "tot": "select qid, parent_id, count(*) total from kk group by all",
+    "exc": "select qid, only_child node_id, count(*) exclusive from kk where n = 1 group by all",
+    "adh": """select qid, parent_id, node_id, one::int one, (total - coalesce(exclusive, 0))::int rest, coalesce(exclusive, 0)::int one_x, (total - one)::int rest_x
+        from (select qid, parent_id, node_id, count(*) one from h group by all) join tot using (qid, parent_id) left join exc using (qid, node_id)""",
     "win": "select *, inn.depth, inn.below from adh join inn using (node_id, parent_id) where one > rest",
-    "rch": "select w.* from win w where w.depth = 1 or exists (select 1 from win p where p.query = w.query and p.node_id = w.parent_id)",
-    "fin": "select query, max_by(node_id, depth) clade, max(depth) depth, max_by(below, depth) below, max_by(one, depth) one, max_by(rest, depth) rest, max_by(one_x, depth) one_x, max_by(rest_x, depth) rest_x from rch group by query",
+    "rch": "select w.* from win w where w.depth = 1 or exists (select 1 from win p where p.qid = w.qid and p.node_id = w.parent_id)",
+    "fin": "select qid, max_by(node_id, depth) clade, max(depth) depth, max_by(below, depth) below, max_by(one, depth) one, max_by(rest, depth) rest, max_by(one_x, depth) one_x, max_by(rest_x, depth) rest_x from rch group by qid",
     "geo": """select 0::bigint node_id, null::bigint parent_id, 'ROOT' kind, null::varchar name, null::double support union all select r_regionkey + 1, 0, 'NODE', null, 99 from region
         union all select n_nationkey + 100, n_regionkey + 1, 'NODE', null, s from nation left join (select c_nationkey, round(avg(c_acctbal) / 50) s from customer group by 1) on c_nationkey = n_nationkey
         union all select c_custkey + 1000, c_nationkey + 100, 'LEAF', c_name, null from customer""",
@@ -64,8 +68,8 @@ def placement(limit: int = 1000, one: str = "one", rest: str = "rest", few: str
     from (select *, case when n < {K} or iterations > {limit} and matched is not null and not ({few}) then 'Error' when matched is null or {few} or depth is null then 'Unclassifiable' when not below then 'IdentityFound' else 'MaxResolutionReached' end status,
         case when n < {K} then '{X.TOO_SHORT}' when matched is null then {quoted} when {few} then {few_text} when iterations > {limit} then '{X.TOO_MANY}' else '{X.NO_OVERLAP}' end message
       from (select query, length(seq) n, matched, clade, depth, below, one, rest, one_x, rest_x, (coalesce(depth, 0) + case when depth is null or below then 1 else 0 end)::int iterations,
-          (select count(*) from qkm where qkm.query = qry.query) n_all
-        from qry left join mat using (query) left join fin using (query)))
+          (select count(*) from qkm where qkm.qid = qry.qid) n_all
+        from qry left join mat using (qid) left join fin using (qid)))
     """
 
 
@@ -77,7 +81,7 @@ def oracle_sql() -> dict[str, str]:
     p, one_step = placement(), placement(1)
     few = "matched < round(n_all * 0.5)"
     code = "status || coalesce(': ' || message, '')"
-    buckets = f"select substr(kmer, 1, {M}) minimizer, count(distinct kmer) n_kmers from ix group by 1"
+    buckets = f"select {BUCKET} minimizer, count(distinct kmer) n_kmers from ix group by 1"
     tags = """select clade, string_agg(a || ':' || t || ':' || v, ',' order by a) tags from (
         select id clade, id a, 'SciName' t, lang v from lng union all select id, id, 'Rank', source from src union all select src.id, lng.id, 'SciName', lang from src join lng using (lang)) group by clade"""
     return {
@@ -102,12 +106,12 @@ def oracle_sql() -> dict[str, str]:
         "index_build": sql("select node_id, count(*) n_kmers from ix group by 1", "ix"),
         "index_build_shifted": sql("""select node_id, count(distinct kmer) n_kmers from (select kmer, unnest([0, l, s]) node_id from (select rec_no + 1 rec_no, kmer from dkm) join home using (rec_no)) where node_id is not null group by 1""", "home"),
         "describe_db": sql(f"select {K} kmer_size, {M} minimizer_size, sum(n_kmers)::bigint kmer_count, count(*) minimizer_count, max(n_kmers) largest_minimizer, min(n_kmers) smallest_minimizer, (sum(n_kmers) // count(*))::bigint minimizer_avg_kmers from ({buckets})", "ix"),
-        "overlap_counts": sql("select * from mat", "mat"),
-        "root_coverage": sql("select query, matched, round(matched * 0.7)::bigint expected, matched >= round(matched * 0.7) enough from mat", "mat"),
-        "node_hits": sql("select query, node_id, one from adh", "adh"),
-        "one_vs_rest": sql("select query, parent_id, node_id, one, rest from adh", "adh"),
-        "one_vs_rest_no_intersection": sql("select query, parent_id, node_id, one_x one, rest_x rest from adh", "adh"),
-        "level_winners": sql("select query, parent_id, max(node_id) node_id, count(*) n_winners from win group by 1, 2", "win"),
+        "overlap_counts": sql("select query, matched from mat join qry using (qid)", "mat"),
+        "root_coverage": sql("select query, matched, round(matched * 0.7)::bigint expected, matched >= round(matched * 0.7) enough from mat join qry using (qid)", "mat"),
+        "node_hits": sql("select query, node_id, one from adh join qry using (qid)", "adh"),
+        "one_vs_rest": sql("select query, parent_id, node_id, one, rest from adh join qry using (qid)", "adh"),
+        "one_vs_rest_no_intersection": sql("select query, parent_id, node_id, one_x one, rest_x rest from adh join qry using (qid)", "adh"),
+        "level_winners": sql("select query, parent_id, max(node_id) node_id, count(*) n_winners from win join qry using (qid) group by 1, 2", "win"),
         "place_sequences": sql(p),
         "place_remove_intersection": sql(placement(one="one_x", rest="rest_x")),
         "place_query_coverage": sql(f"select query, status, message, clade_id from ({placement(few=few, few_text=chr(39) + 'Insufficient kmers coverage: ' + chr(39) + ' || matched')})"),
@@ -124,6 +128,6 @@ def oracle_sql() -> dict[str, str]:
         "runtime_stats": "select count(value) n, round(avg(value), 6) average, max(value) longest, min(value) shortest from events",
         "fasta_roundtrip": sql("select header, seq from rec where seq <> ''", "rec"),
         "stream_jobs": f"""select user_id job, ['pending', 'running', 'error', 'success'][1 + max(case {marker()} when 'success' then 3 when 'error' then 2 when 'running' then 1 else 0 end)] state from events group by 1""",
-        "model_roundtrip": sql(f"select substr(kmer, 1, {M}) minimizer, count(*) n_rows, count(distinct kmer) n_kmers from ix group by 1", "ix"),
+        "model_roundtrip": sql(f"select {BUCKET} minimizer, count(*) n_rows, count(distinct kmer) n_kmers from ix group by 1", "ix"),
         "newick_parse": sql("select g.name, p.support parent_support, count(*) over (partition by g.parent_id) siblings from geo g join geo p on p.node_id = g.parent_id where g.kind = 'LEAF'", "geo"),
     }
