@@ -30,7 +30,7 @@ def leaves_of(records: DataFrame, nodes: DataFrame, missing: str = "error") -> D
     out = records.join(leaves, "header", "inner" if missing == "drop" else "left")
     if missing == "error":
         text = F.concat(F.lit("no leaf has the name "), F.coalesce("header", F.lit("null")))
-        out = out.withColumn("leaf", F.when(F.col("leaf").isNull(), F.raise_error(text)).otherwise(F.col("leaf")))
+        out = out.where(F.when(F.col("leaf").isNull(), F.raise_error(text).cast("boolean")).otherwise(True))
     return out.select("*", F.col("leaf.node_id").alias("leaf_id"), F.col("leaf.parent_id").alias("parent_id")).drop("leaf")
 
 

@@ -21,7 +21,7 @@ from . import lens as L
 
 K, M = L.K, L.M
 #: Event types that stand for markers of a job.
-MARKS = {"purchase": "success", "refund": "error", "click": "running"}
+MARKS = {"purchase": "success", "error": "error", "click": "running"}
 GEO_SUPPORT = 90.0
 N_MODELS = 20
 
@@ -211,16 +211,16 @@ def place_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def marker_stream(events: DataFrame) -> DataFrame:
-    """Events as markers of jobs; other types are configurations without a marker."""
+    """Events as markers of jobs, three events to a job; other types are configurations without a marker."""
     marker = F.lit(None).cast("string")
     for kind, name in MARKS.items():
         marker = F.when(F.col("event_type") == kind, name).otherwise(marker)
-    return events.select(F.col("user_id").alias("job"), marker.alias("marker"))
+    return events.select(F.floor(F.col("event_id") / 3).cast("long").alias("job"), marker.alias("marker"))
 
 
 def jobs_pending(spark: SparkSession, d: str) -> DataFrame:
     seen = marker_stream(L.table(spark, d, "events"))
-    return watcher.pending(seen.select("job").distinct(), seen.where(F.col("marker") == "success"))
+    return watcher.pending(seen.select("job").distinct(), seen.where(F.col("marker").isNotNull()))
 
 
 def jobs_model_lookup(spark: SparkSession, d: str) -> DataFrame:

@@ -122,12 +122,12 @@ def oracle_sql() -> dict[str, str]:
         "place_json": sql(f"""select query, '{{"query":"' || query || '","code":"' || replace({code}, '"', '\\"') || '"' || case status when 'MaxResolutionReached' then ',"placement":' || clade_id
             when 'IdentityFound' then ',"placement":{{"clade":' || clade_id || ',"one":' || one || ',"rest":' || rest || '}}' else '' end || '}}' line from ({p}) where status <> 'Error'"""),
         "place_errors": sql(f"select query, message from ({one_step}) where status = 'Error'"),
-        "jobs_pending": f"select distinct user_id job from events where user_id not in (select user_id from events where {marker()} = 'success')",
+        "jobs_pending": f"select distinct event_id // 3 job from events where event_id // 3 not in (select event_id // 3 from events where {marker()} is not null)",
         "jobs_model_lookup": f"""select event_id, n_name model_name, case when n_name is null then 'model not found: ' || user_id % 25 end error
             from events left join nation on n_nationkey = user_id % 25 and n_nationkey < {N_MODELS}""",
         "runtime_stats": "select count(value) n, round(avg(value), 6) average, max(value) longest, min(value) shortest from events",
         "fasta_roundtrip": sql("select header, seq from rec where seq <> ''", "rec"),
-        "stream_jobs": f"""select user_id job, ['pending', 'running', 'error', 'success'][1 + max(case {marker()} when 'success' then 3 when 'error' then 2 when 'running' then 1 else 0 end)] state from events group by 1""",
+        "stream_jobs": f"""select event_id // 3 job, ['pending', 'running', 'error', 'success'][1 + max(case {marker()} when 'success' then 3 when 'error' then 2 when 'running' then 1 else 0 end)] state from events group by 1""",
         "model_roundtrip": sql(f"select {BUCKET} minimizer, count(*) n_rows, count(distinct kmer) n_kmers from ix group by 1", "ix"),
         "newick_parse": sql("select g.name, p.support parent_support, count(*) over (partition by g.parent_id) siblings from geo g join geo p on p.node_id = g.parent_id where g.kind = 'LEAF'", "geo"),
     }

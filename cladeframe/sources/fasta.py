@@ -33,8 +33,9 @@ def read(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
     here = F.struct("block", "at")
     rows = raw.join(F.broadcast(ends), "file")  # a row for each file
     lead = (here == F.col("head")) & ~F.col("value").startswith(">")
-    stray = F.when(lead & (S.sanitize(F.col("value")) != "") & (here != F.col("tail")), F.raise_error(F.lit("a sequence comes before the first header")).cast("string"))
-    rows = rows.where(~lead | F.coalesce(stray, F.lit("")).isNull()).select("file", "block", "at", header.alias("header"), sequence.alias("seq"), (here == F.col("tail")).alias("last"))
+    stray = lead & (S.sanitize(F.col("value")) != "") & (here != F.col("tail"))
+    is_record = F.when(stray, F.raise_error(F.lit("a sequence comes before the first header")).cast("boolean")).otherwise(~lead)
+    rows = rows.where(is_record).select("file", "block", "at", header.alias("header"), sequence.alias("seq"), (here == F.col("tail")).alias("last"))
     rows = rows.where((F.col("seq") != "") | ~F.col("last")).drop("last")
     return numbered(rows, "file", "block", "at").select("rec_no", "header", "seq") if ordered else rows.select("header", "seq")
 
