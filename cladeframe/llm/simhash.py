@@ -132,6 +132,7 @@ def links(fps: DataFrame) -> DataFrame:
     members = fps.select("fp", variants(F.col("fp"), 64, 2).alias("k1"))
     while True:
         members, hot = bucketed(members, keys)
+        hot = hot and len(keys) < 3  # after the second cut a bucket is bounded by the bits that are left
         groups = (members.where(F.col("n") <= CAP) if hot else members).groupBy(*keys).agg(F.collect_list("fp").alias("fps")).select("fps")
         found.append(groups.mapInPandas(linked, "u long, v long"))
         if not hot:
