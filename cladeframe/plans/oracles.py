@@ -111,7 +111,7 @@ def oracle_sql() -> dict[str, str]:
         "node_hits": sql("select query, node_id, one from adh join qry using (qid)", "adh"),
         "one_vs_rest": sql("select query, parent_id, node_id, one, rest from adh join qry using (qid)", "adh"),
         "one_vs_rest_no_intersection": sql("select query, parent_id, node_id, one_x one, rest_x rest from adh join qry using (qid)", "adh"),
-        "level_winners": sql("select query, parent_id, max(node_id) node_id, count(*) n_winners from win join qry using (qid) group by 1, 2", "win"),
+        "level_winners": sql("select query, parent_id, node_id, n_winners from (select qid, parent_id, max(node_id) node_id, count(*) n_winners from win group by 1, 2) join qry using (qid)", "win"),
         "place_sequences": sql(p),
         "place_remove_intersection": sql(placement(one="one_x", rest="rest_x")),
         "place_query_coverage": sql(f"select query, status, message, clade_id from ({placement(few=few, few_text=chr(39) + 'Insufficient kmers coverage: ' + chr(39) + ' || matched')})"),
