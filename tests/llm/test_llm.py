@@ -325,6 +325,26 @@ def test_secrets(spark, edges):
     assert len(rows) == edges.count() and next(r for r in rows if r.doc_id == 0).base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_short_and_of_one_kind():
+    for text, secret in (("Authorization: Bearer Zk3jd8fKJh3k4jhK", "Zk3jd8fKJh3k4jhK"), ("Authorization: Bearer qzxkvjwpbtghrmds", "qzxkvjwpbtghrmds"), ("private key: 483920184", "483920184"), ('db_pwd = "hT9kQz2p"', "hT9kQz2p"), ("AUTH_KEY=Zk3jd8fKJh3k4jhK", "Zk3jd8fKJh3k4jhK")):
+        at = text.index(secret)
+        assert secrets.scan(text)[4] == f"crf:{at}:{at + len(secret)}", text
+    for text in ("the key of the house is in the garden, the token was lost", "call 555-7713 or 555-0199", "sichschstbeach undschtziekeit thndwhtst", "", "日本語", "é" * 5000):
+        assert secrets.scan(text)[4] == "", text
+    assert len({len(x) for x in (secrets.made(random.Random(k)) for k in range(500))} & set(range(8, 20))) == 12
+
+
+def test_secrets_bounds_keep_the_best_path():
+    w, step = secrets.model()
+    field, rng = secrets.field(secrets.kept()), random.Random(5)
+    texts = [rng.choice(("\n", " ", "\r\n  ")).join(secrets.example(rng)[0] for _ in range(rng.randint(1, 5))) for _ in range(300)]
+    texts += ['auth = "KEY1KEY2abc9KEY3", "KEY2kdj38fhKdkJ3"', "bearer: Zk3jd8fKJh3k4jhKJH\r\n  kjh34kjhKJH3Qm9x8Zk3"]
+    for text in texts:
+        spans = secrets.spans_of(text)
+        tags = secrets.viterbi(secrets.describe(text, spans, 0, len(spans), secrets.file_says(text)) @ w, step)
+        assert field.tags(text) == [(s, t, e) for (s, e), t in zip(spans, tags, strict=True) if t]
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(50):
