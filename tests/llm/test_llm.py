@@ -345,6 +345,12 @@ def test_secrets_bounds_keep_the_best_path():
         assert field.tags(text) == [(s, t, e) for (s, e), t in zip(spans, tags, strict=True) if t]
 
 
+def test_secrets_go_on_over_separators_of_any_length():
+    for between in ('", "', "\r\n", "\n    ", "\\\r\n    ", "."):
+        text = f'auth = "Zk3jd8fKJh3k4jhKJHkjh34k{between}Qm9x8Zk3jd8fTTh3k4jhKJHkj"'
+        assert secrets.scan(text)[4] == f"crf:8:{len(text) - 1}", between
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(50):
