@@ -159,13 +159,13 @@ def taken(docs: DataFrame, found: Plan) -> DataFrame:
     return out.withColumn("__copies", (F.coalesce("__passes", F.lit(0)) + part).cast("long"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, found: Plan | None = None) -> DataFrame:
     """The mixed documents: a row for each copy, dealt to shards by the tree and shuffled inside each.
 
-    Adds the column shard, or __shard where docs has one of that name.
+    Adds the column shard, or __shard where docs has one of that name. found: the plan, if it was made.
     """
     rows = permuted(docs)
-    found = plan(rows, shards)
+    found = found or plan(rows, shards)
     name = "__shard" if "shard" in docs.columns else "shard"
     rows = taken(rows, found).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     # the place of a copy among its source's drawn blocks: whole passes first, then the partial pass
@@ -176,3 +176,23 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.withColumn(name, shard)
     order = F.xxhash64(F.lit(SEED), F.col(KEY), "__copy")
     return rows.repartition(shards, name).sortWithinPartitions(name, order).select(*docs.columns, name)
+
+
+def dealt(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, source_size and target of every row, the words taken and the shards they lie in.
+
+    docs: doc_id, text, source. Whole texts are dealt by mix(); copies are counted, and words counted
+    anew, in what the shards hold. Equal rows share one fate, so each has its part of their copies.
+    """
+    rows = permuted(docs).drop("text")
+    found = plan(rows, shards)
+    # the number is drawn after the local shuffle, which Spark would leave out below an aggregate
+    held = permuted(mix(docs, shards, found).withColumn("__at", F.monotonically_increasing_id()))
+    same = ["doc_id", "__size", "__source"]
+    counts = held.groupBy(*same).agg(F.count("__at").alias("__held"), F.sort_array(F.collect_set("shard")).alias("shards"))
+    each = rows.groupBy(*same).agg(F.count("*").alias("__rows"))
+    a, b = each.alias("a"), counts.alias("b")
+    equal = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.__size") == F.col("b.__size")) & (F.col("a.__source") == F.col("b.__source"))
+    out = a.join(b, equal, "left").select("a.*", F.coalesce("__held", F.lit(0)).alias("__held"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    out = out.join(F.broadcast(found.sources), "__source", "left").withColumn("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__rows"))))
+    return out.selectExpr("doc_id", "__size as size", "source_size", "target", "__held div __rows * __size as taken", "shards")

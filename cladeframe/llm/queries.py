@@ -37,10 +37,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = mixing.permuted(docs.select("doc_id", "text", "source")).drop("text")
-    rows = mixing.taken(rows, mixing.plan(rows))
-    return rows.selectExpr("doc_id", "__size as size", "source_size", "target", "__copies * __size as taken")
+    return mixing.dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cladeframe.llm import components, decontamination, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
+from cladeframe.llm import components, decontamination, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, queries, secrets, simhash, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, own string, size long"
 WORDS = "the of and to in is that it was for on are with as his they be at one have this from or had by hot but some what there we can out other were all your when up use word how said an each she".split()
@@ -207,6 +207,20 @@ def test_mixing(spark, edges):
     assert mixing.mix(edges).count() >= 0 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_query_follows_the_tree(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k if k % 50 else None, prose(rng, rng.randint(0, 40)), rng.choice("aaaab") if k % 9 else None) for k in range(700)]
+    spark.createDataFrame(rows + rows[:3], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    parts = mixing.permuted(docs)
+    want = sorted((r.doc_id or -1, r["__size"], r.source_size, r["__copies"] * r["__size"]) for r in mixing.taken(parts, mixing.plan(parts)).collect())
+    got = queries.op6_mixing(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r["size"], r.source_size, r.taken) for r in got) == want
+    monkeypatch.setattr(mixing, "split", lambda quotas, shards, rng: np.array([quotas * (k == 3) for k in range(shards)]))
+    got = queries.op6_mixing(spark, str(tmp_path)).collect()
+    assert {tuple(r.shards) for r in got if r.taken} == {(3,)}
+
+
 def test_quality_classifier(spark, edges):
     rng = random.Random(7)
     texts = [prose(rng, 80) if k % 3 else " ".join(w.upper() + "!!" for w in prose(rng, 80).split()) for k in range(200)]
