@@ -13,7 +13,7 @@ tri as (select rid, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i]
 trusted as (select doc_id from (select distinct doc_id from labels where quality = 1 and doc_id is not null) order by md5(doc_id::varchar), doc_id limit {q.MAX_TRUSTED}),
 counts as (select b, count(*) r, count(*) filter (d.doc_id in (select doc_id from trusted)) t from tri join d using (rid) group by b),
 total as (select sum(r) nr, sum(t) nt from counts),
-ratio as (select b, case when nt = 0 then 0 else ln((t + {q.SMOOTHING}) / (nt + {q.SMOOTHING} * {q.BUCKETS})) - ln((r + {q.SMOOTHING}) / (nr + {q.SMOOTHING} * {q.BUCKETS})) end v from counts, total),
+ratio as (select b, case when nt = 0 then 0 else ln({q.TRUST} * (t / nt) / (r / nr) + {1 - q.TRUST}) end v from counts, total),
 score as (select rid, avg(v) score from tri join ratio using (b) group by rid),
 pos as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select rid, w, unnest(range(1, len(w) - 1)) i from d)),
 again as (select rid, i from (select rid, i, count(*) over (partition by rid, g) n from pos) where n > 1),

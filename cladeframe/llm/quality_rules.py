@@ -1,13 +1,16 @@
 """Quality rules: hashed n-gram log-likelihood ratio of a trusted target against the raw corpus.
 
 Character trigrams are hashed into a fixed number of buckets. Two multinomials over the buckets
-are estimated with additive smoothing: the raw one from every document, the target one from
-trusted documents (label quality 1). A document's score is its summed log ratio
-log p_target - log p_raw over its trigrams, divided by their number. Documents at or above a fixed
-threshold are kept, so the verdict on a document is deterministic given the two tables.
+are estimated: the raw one from every document, the target one from trusted documents (label
+quality 1), smoothed towards the raw one: it is a mixture of both with weight TRUST. A document's
+score is its summed log ratio log p_target - log p_raw over its trigrams, divided by their number.
+Only shares enter, so the score doesn't depend on the size of the tables, and the mean score of the
+trusted trigrams can't be below 0. Documents at or above a fixed threshold are kept, so the verdict
+on a document is deterministic given the two tables.
 
 Defined results: a null text is empty; a text with fewer than three characters scores 0; without
-any trusted document all ratios are 0 and only the base rules decide. Repeated rows each get the
+any trusted document all ratios are 0 and only the base rules decide. The ratio of a bucket that no
+document of the fitted corpus has is 0. Repeated rows each get the
 same result and each count in the raw multinomial. A document with several labels is trusted if
 one of them is 1. Only doc_id and text are read, so other columns can't clash.
 """
@@ -27,8 +30,8 @@ from .common import WS, small_batches
 
 #: Buckets of the trigram hash (a prime) and its multipliers.
 BUCKETS, MUL_1, MUL_2 = 16381, 9973, 613
-#: Additive smoothing of both multinomials.
-SMOOTHING = 1.0
+#: Weight of the trusted distribution in the target; the rest is the raw one.
+TRUST = 0.5
 #: A document is kept if its length-normalised score is at least this.
 THRESHOLD = -0.1
 #: The trusted target is fitted on at most so many labelled documents, those with the smallest MD5 of doc_id.
@@ -112,11 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_tr
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in found.collect():  # at most BUCKETS rows
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    if not target.sum():
-        return Model(np.zeros(BUCKETS), threshold)
-    p = (target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)
-    q = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
-    return Model(np.log(p) - np.log(q), threshold)
+    ratio, seen = np.zeros(BUCKETS), raw > 0
+    if target.sum():
+        ratio[seen] = np.log(TRUST * (target[seen] / target.sum()) / (raw[seen] / raw.sum()) + 1 - TRUST)
+    return Model(ratio, threshold)
 
 
 def verdict(model: Model, text: str = "text"):

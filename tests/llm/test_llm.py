@@ -51,6 +51,24 @@ def test_quality_rules(spark, edges):
     assert quality_rules.base_counts("a b c\na b c\n \nx#|") == (7, 9, 2, 1, 6)
 
 
+def test_quality_rules_do_not_depend_on_size(spark):
+    rng = random.Random(11)
+    docs = documents(spark, [prose(rng, 100) for _ in range(30)] + [" ".join(f"{w}|" for w in prose(rng, 80).split()) for _ in range(10)])
+    labels = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
+    model = quality_rules.fit(docs, labels)
+    twice = quality_rules.fit(docs.unionByName(docs).unionByName(docs), labels)
+    assert np.allclose(model.ratio, twice.ratio)
+    # verdicts against a plain count: trusted documents pass
+    rows = {r.doc_id: r for r in quality_rules.apply(docs, model, ["doc_id"]).collect()}
+    assert all(rows[k].kept for k in range(30)) and not any(rows[k].kept for k in range(30, 40))
+    texts = [r.text for r in docs.collect()]
+    raw = np.bincount(np.concatenate([quality_rules.buckets(t or "") for t in texts]), minlength=quality_rules.BUCKETS)
+    good = np.bincount(np.concatenate([quality_rules.buckets(t) for t in [*texts[:20], texts[0]]]), minlength=quality_rules.BUCKETS)
+    for k in np.flatnonzero(raw)[::50].tolist():
+        assert model.ratio[k] == pytest.approx(np.log((good[k] / good.sum() + raw[k] / raw.sum()) / 2) - np.log(raw[k] / raw.sum()))
+    assert not model.ratio[raw == 0].any()
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "u1", "<p>é</p>"), (2, "u2", "<p>é</p>"), (3, None, None), (4, "u4", ""), (5, "u5", "x" * 5000), (5, "u5", "x" * 5000), (None, "u6", "<p>é</p>")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1))
