@@ -8,8 +8,12 @@ multivariate hypergeometric distribution given the node's quotas and the left ha
 blocks. At the leaves each shard draws its quota of disjoint consecutive blocks of the permutation,
 and shuffles locally, by a hash of its own.
 
-The block in which a target ends is taken in part: its documents are tried in permuted order and
-each that still fits is taken.
+The block in which a target ends is taken in part: of its documents, the largest that still fits is
+taken until none does. Words that are then still missing (where a document is larger than a block's
+others together) are taken from the blocks after it, of the documents that fit, in the same way,
+until the rest is under CLOSE of the target or no document fits.
+
+The number of shards grows with the mix: one for SHARD_WORDS words, LEAST_SHARDS at least.
 
 Sources are ordered by code point, null last, and get the weights 3, 1, 2, repeating. They share
 TOTAL times the words of all; no target exceeds MOST times its source's words, and what is above is
@@ -23,6 +27,7 @@ drawn from hashes and seeds, so reruns and lost executors give the same mix.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,10 +40,19 @@ from .common import WORD, checkpoint
 WEIGHTS = (3, 1, 2)
 #: Share of all words that the mix takes, and most words taken for each word of a source.
 TOTAL, MOST = 1.5, 2.0
-#: Mean documents in a block, output shards, seed.
-BLOCK, SHARDS, SEED = 1024, 64, 11
-#: The per-source tables live on the driver; more sources than this are refused.
-MAX_SOURCES = 100_000
+#: Mean documents in a block, blocks that are summed together first, seed.
+BLOCK, WIDE, SEED = 1024, 4096, 11
+#: Words of the mix in a shard, and the fewest shards.
+SHARD_WORDS, LEAST_SHARDS = 32_000_000, 16
+#: A target is filled until no more than this share of it is open.
+CLOSE = 0.0005
+#: The per-source tables live on the driver; more sources than this are refused, and shards are made larger
+#: where sources times shards would exceed CELLS.
+MAX_SOURCES, CELLS = 100_000, 2_000_000
+#: Most keys of documents taken from cut blocks that are broadcast; beyond, they are joined by a shuffle.
+MAX_KEYS = 1_000_000
+#: Ranges of a source that are looked through at once when a block's shard is found.
+RANGES = 32
 #: The column that holds a row's place in the permutation.
 KEY = "__key"
 
@@ -71,16 +85,32 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return np.vstack([split(left, half, rng), split(quotas - left, shards - half, rng)])
 
 
+def hypergeometric(good: int, bad: int, sample: int, rng: np.random.Generator) -> int:
+    """One hypergeometric draw by inversion, for numbers of any size.
+
+    The probabilities follow from their exact ratios, outwards to twelve deviations from the mode:
+    what lies beyond is far below the resolution of the uniform number.
+    """
+    low, high, n = max(0, sample - bad), min(good, sample), good + bad
+    if low == high:
+        return low
+    mode = (sample + 1) * (good + 1) // (n + 2)
+    reach = 64 + int(12 * math.sqrt(sample / n * good / n * bad * (n - sample) / max(1, n - 1)))
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) * (sample - k)) - np.log((k + 1) * (bad - sample + k + 1))
+    size = np.concatenate([[0.0], np.cumsum(steps)])
+    total = np.cumsum(np.exp(size - size.max()))
+    return low + min(high - low, int(np.searchsorted(total, rng.random() * total[-1], "right")))
+
+
 def draw(quotas: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """A multivariate-hypergeometric draw, one source after the other."""
     out, rest = np.zeros_like(quotas), int(quotas.sum())
     for k, q in enumerate(quotas.tolist()):
         rest -= q
         if take and q:
-            if q + rest < 1_000_000_000:
-                out[k] = rng.hypergeometric(q, rest, min(take, q + rest))
-            else:  # beyond the generator's range: the rounded mean
-                out[k] = min(q, max(take - rest, round(take * q / (q + rest))))
+            out[k] = hypergeometric(q, rest, take, rng)
         take -= int(out[k])
     return out
 
@@ -91,11 +121,14 @@ def n_words(text: str = "text") -> Column:
 
 @dataclass
 class Plan:
-    """A row per source: its size, target, whole passes, blocks and the block in which the target ends."""
+    """sources: a row per source with its size, target, whole passes, blocks and the rules by which
+    whole blocks belong to the partial pass; partly: keys taken from cut blocks; spans: a row per
+    source with its drawn blocks' ranges by shard."""
 
     sources: DataFrame
     partly: DataFrame
-    ranges: DataFrame
+    spans: DataFrame
+    shards: int
 
 
 def permuted(docs: DataFrame) -> DataFrame:
@@ -110,7 +143,39 @@ def block_of(blocks: str = "__blocks") -> Column:
     return F.floor(upper * F.col(blocks) / F.lit(float(1 << 32))).cast("long")
 
 
-def plan(docs: DataFrame, shards: int = SHARDS) -> Plan:
+def ends(sums: DataFrame, rooms: DataFrame) -> dict[int, tuple[int, int]]:
+    """The block in which each source's room (__id, __room) ends and the words before it: the last block
+    with words before it within the room. sums: (__id, __block, s).
+
+    WIDE blocks are summed first, so no task gets more than a WIDE-th of a source's blocks.
+    """
+
+    def last(rows: DataFrame, by: str, open_: str) -> list:
+        before = F.sum("s").over(Window.partitionBy("__id").orderBy(by)) - F.col("s")
+        fit = rows.withColumn("__before", before).where(F.col("__before") <= F.col(open_))
+        return fit.groupBy("__id").agg(F.max(by).alias("b"), F.max("__before").alias("w")).collect()  # a row for each source
+
+    wide = sums.groupBy("__id", F.floor(F.col("__block") / WIDE).alias("__wide")).agg(F.sum("s").alias("s"))
+    first = last(wide.join(F.broadcast(rooms), "__id"), "__wide", "__room")
+    inside = sums.sparkSession.createDataFrame([(r["__id"], r.b, r.w) for r in first], "__id long, __wide long, __skipped long")
+    rows = sums.withColumn("__wide", F.floor(F.col("__block") / WIDE)).join(F.broadcast(inside), ["__id", "__wide"]).join(F.broadcast(rooms), "__id")
+    skipped = {r["__id"]: r.w for r in first}
+    found = last(rows.withColumn("__left", F.col("__room") - F.col("__skipped")), "__block", "__left")
+    return {r["__id"]: (r.b, r.w + skipped[r["__id"]]) for r in found}
+
+
+def largest_first(listed: str = "rows", room: str = "__room") -> Column:
+    """The keys and words of what fits into the room when the largest of the rows (s, key) are tried first."""
+    start = F.struct(F.col(room).cast("double").alias("room"), F.array().cast("array<bigint>").alias("keys"))
+
+    def add(a: Column, r: Column) -> Column:
+        taken = F.struct((a["room"] - r["s"]).alias("room"), F.concat(a["keys"], F.array(r[KEY])).alias("keys"))
+        return F.when((r["s"] > 0) & (r["s"] <= a["room"]), taken).otherwise(a)
+
+    return F.aggregate(F.sort_array(listed, asc=False), start, add)
+
+
+def plan(docs: DataFrame, shards: int | None = None) -> Plan:
     """Quotas and cuts. docs: with the columns of permuted(); only the slim ones are read here."""
     spark = docs.sparkSession
     slim = checkpoint(docs.groupBy("__source", KEY, "__size").agg(F.count("*").alias("__n")))
@@ -119,47 +184,65 @@ def plan(docs: DataFrame, shards: int = SHARDS) -> Plan:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     aims = targets([r["size"] for r in found])
     passes = [int(a // r["size"]) if r["size"] else 0 for a, r in zip(aims, found, strict=True)]
-    rest = [a - p * r["size"] for a, p, r in zip(aims, passes, found, strict=True)]
+    room = {k: a - p * r["size"] for k, (a, p, r) in enumerate(zip(aims, passes, found, strict=True))}
     blocks = [max(1, -(-r["n"] // BLOCK)) for r in found]
-    kind = "__source struct<missing: boolean, name: string>, __id long, source_size long, target double, __passes long, __rest double, __blocks long"
-    base = spark.createDataFrame([(r["__source"], k, r["size"], aims[k], passes[k], rest[k], blocks[k]) for k, r in enumerate(found)], kind)
-    dealt = slim.join(F.broadcast(base), "__source").withColumn("__block", block_of())
-    sums = dealt.groupBy("__id", "__block").agg(F.sum(F.col("__size") * F.col("__n")).alias("s"))
-    before = F.sum("s").over(Window.partitionBy("__id").orderBy("__block")) - F.col("s")
-    # the block in which the target ends is the last whose words before it are within the rest
-    ends = sums.withColumn("before", before).join(F.broadcast(base.select("__id", "__rest")), "__id").where("before <= __rest")
-    cut = {r["__id"]: (r.b, r.w) for r in ends.groupBy("__id").agg(F.max("__block").alias("b"), F.max("before").alias("w")).collect()}
-    # whole blocks lie below the cut; of the block at the cut, documents that fit are taken
-    quotas = np.array([passes[k] * blocks[k] + cut.get(k, (0, 0))[0] + 1 for k in range(len(found))], dtype=np.int64)
+    base = spark.createDataFrame([(r["__source"], k, blocks[k]) for k, r in enumerate(found)], "__source struct<missing: boolean, name: string>, __id long, __blocks long")
+    rows = slim.join(F.broadcast(base), "__source").select("__id", KEY, "__size", block_of().alias("__block"), (F.col("__size") * F.col("__n")).alias("s"))
+    # rules (from, to, most): of the blocks from up to to, documents of at most so many words are in the partial pass
+    rules: dict[int, list[tuple[int, int, int]]] = {k: [] for k in room}
+    start, most, last = dict.fromkeys(room, 0), {k: r["size"] for k, r in enumerate(found)}, dict.fromkeys(room, 0)
+    parts: list[DataFrame] = []
+    open_ = [k for k in room if room[k] > 0]
+    while open_:
+        state = spark.createDataFrame([(k, float(room[k]), start[k], int(most[k])) for k in open_], "__id long, __room double, __start long, __most long")
+        able = rows.join(F.broadcast(state), "__id").where("__block >= __start and __size <= __most")
+        cut = ends(able.groupBy("__id", "__block").agg(F.sum("s").alias("s")), state.select("__id", "__room"))
+        for k, (b, w) in cut.items():
+            rules[k].append((start[k], b, int(most[k])))
+            room[k] -= w
+            start[k], last[k] = b + 1, b
+        at = spark.createDataFrame([(k, b, float(room[k])) for k, (b, _) in cut.items()], "__id long, __cut long, __room double")
+        inside = able.drop("__room").join(F.broadcast(at), "__id").where("__block = __cut")
+        picked = inside.groupBy("__id", "__room").agg(F.collect_list(F.struct("s", KEY)).alias("rows"))  # about BLOCK rows a source
+        picked = checkpoint(picked.select("__id", largest_first().alias("f")).select("__id", "f.room", "f.keys"))
+        parts.append(picked.select("__id", F.explode("keys").alias(KEY)))
+        for r in picked.select("__id", "room").collect():
+            room[r["__id"]] = r.room
+        most |= {k: math.floor(room[k]) for k in cut}
+        open_ = [k for k in cut if room[k] > CLOSE * aims[k] and start[k] < blocks[k]]
+    partly = spark.createDataFrame([], f"__id long, {KEY} long")
+    for x in parts:
+        partly = partly.unionByName(x)
+    quotas = np.array([passes[k] * blocks[k] + (last[k] + 1 if rules[k] else 0) for k in room], dtype=np.int64)
+    if shards is None:
+        shards = max(LEAST_SHARDS, math.ceil(sum(aims) / SHARD_WORDS))
+    shards = max(1, min(shards, CELLS // max(1, len(found))))
+    cells: list[tuple[int, list[tuple[int, list[tuple[int, int]]]]]] = []
     if len(found):
-        table = split(quotas, shards, np.random.default_rng(SEED))
-        edges = np.vstack([np.zeros_like(quotas)[None, :], np.cumsum(table, axis=0)])
-        rows = [(k, j, int(edges[j][k]), int(edges[j + 1][k])) for k in range(len(found)) for j in range(shards) if edges[j][k] < edges[j + 1][k]]
-    else:
-        rows = []
-    ranges = spark.createDataFrame(rows, "__id long, shard int, __from long, __to long")
-    cuts = spark.createDataFrame([(k, int(b), float(rest[k] - w)) for k, (b, w) in cut.items()], "__id long, __cut long, __room double")
-    sources = base.join(F.broadcast(cuts), "__id", "left").drop("__rest")
-    at_cut = dealt.join(F.broadcast(cuts), "__id").where("__block = __cut")
-    listed = at_cut.groupBy("__id", "__room").agg(F.sort_array(F.collect_list(F.struct(KEY, (F.col("__size") * F.col("__n")).alias("s")))).alias("rows"))
-    start = F.struct(F.col("__room").alias("room"), F.array().cast("array<bigint>").alias("keys"))
-    fits = F.aggregate("rows", start, lambda a, r: F.when((a.room > 0) & (r.s <= a.room), F.struct((a.room - r.s).alias("room"), F.concat(a["keys"], F.array(r[KEY])).alias("keys"))).otherwise(a))
-    partly = listed.select("__id", F.explode(fits["keys"]).alias(KEY)).withColumn("__part", F.lit(1))
-    return Plan(sources, checkpoint(partly), ranges)
+        edges = np.cumsum(split(quotas, shards, np.random.default_rng(SEED)), axis=0)
+        for k in range(len(found)):
+            own = [(int(e), j) for j, e in enumerate(edges[:, k].tolist()) if e > (edges[j - 1, k] if j else 0)]
+            cells.append((k, [(part[-1][0], part) for part in (own[i : i + RANGES] for i in range(0, len(own), RANGES))]))
+    spans = spark.createDataFrame(cells, "__id long, __spans array<struct<to: bigint, part: array<struct<to: bigint, shard: int>>>>")
+    kind = "__source struct<missing: boolean, name: string>, __id long, source_size long, target double, __passes long, __blocks long, __rules array<struct<from: bigint, to: bigint, most: bigint>>"
+    sources = spark.createDataFrame([(r["__source"], k, r["size"], aims[k], passes[k], blocks[k], rules[k]) for k, r in enumerate(found)], kind)
+    return Plan(sources, checkpoint(partly.withColumn("__part", F.lit(1))), spans, shards)
 
 
 def taken(docs: DataFrame, found: Plan) -> DataFrame:
     """Adds source_size, target and __copies to rows of permuted(); nothing but small tables moves.
 
-    The sources table has a row for each source and partly at most a block's keys for each source.
+    The sources table has a row for each of at most MAX_SOURCES sources.
     """
     out = docs.join(F.broadcast(found.sources), "__source", "left").withColumn("__block", block_of())
-    out = out.join(found.partly.hint("broadcast"), ["__id", KEY], "left")
-    part = F.when(F.col("__block") < F.col("__cut"), 1).when(F.col("__block") == F.col("__cut"), F.coalesce("__part", F.lit(0))).otherwise(0)
+    picked = found.partly.hint("broadcast") if found.partly.count() <= MAX_KEYS else found.partly
+    out = out.join(picked, ["__id", KEY], "left")
+    whole = F.exists("__rules", lambda x: (F.col("__block") >= x["from"]) & (F.col("__block") < x["to"]) & (F.col("__size") <= x["most"]))
+    part = F.when(F.col("__part").isNotNull() | F.coalesce(whole, F.lit(False)), 1).otherwise(0)
     return out.withColumn("__copies", (F.coalesce("__passes", F.lit(0)) + part).cast("long"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, found: Plan | None = None) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, found: Plan | None = None) -> DataFrame:
     """The mixed documents: a row for each copy, dealt to shards by the tree and shuffled inside each.
 
     Adds the column shard, or __shard where docs has one of that name. found: the plan, if it was made.
@@ -170,15 +253,15 @@ def mix(docs: DataFrame, shards: int = SHARDS, found: Plan | None = None) -> Dat
     rows = taken(rows, found).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
     # the place of a copy among its source's drawn blocks: whole passes first, then the partial pass
     place = F.col("__copy") * F.col("__blocks") + F.col("__block")
-    spans = found.ranges.groupBy("__id").agg(F.sort_array(F.collect_list(F.struct("__to", F.col("shard").alias("__j")))).alias("__spans"))
-    rows = rows.withColumn("__place", place).join(F.broadcast(spans), "__id")
-    shard = F.element_at(F.filter("__spans", lambda x: x["__to"] > F.col("__place")), 1)["__j"]
+    rows = rows.withColumn("__place", place).join(F.broadcast(found.spans), "__id")  # CELLS ranges at most
+    part = F.element_at(F.filter("__spans", lambda x: x["to"] > F.col("__place")), 1)["part"]
+    shard = F.element_at(F.filter(part, lambda x: x["to"] > F.col("__place")), 1)["shard"]
     rows = rows.withColumn(name, shard)
     order = F.xxhash64(F.lit(SEED), F.col(KEY), "__copy")
-    return rows.repartition(shards, name).sortWithinPartitions(name, order).select(*docs.columns, name)
+    return rows.repartitionById(found.shards, F.col(name)).sortWithinPartitions(name, order).select(*docs.columns, name)
 
 
-def dealt(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def dealt(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """doc_id, size, source_size and target of every row, the words taken and the shards they lie in.
 
     docs: doc_id, text, source. Whole texts are dealt by mix(); copies are counted, and words counted

@@ -222,7 +222,65 @@ def test_mixing(spark, edges):
     assert len(first) == sum(r["__copies"] for r in got)
     table = mixing.split(np.array([100, 7, 0]), 8, np.random.default_rng(1))
     assert table.sum(0).tolist() == [100, 7, 0] and max(table.sum(1)) - min(table.sum(1)) <= 2
-    assert mixing.mix(edges).count() >= 0 and mixing.mix(empty(spark)).count() == 0
+    left = {r.doc_id for r in mixing.mix(edges).collect()}
+    assert left <= {r.doc_id for r in edges.collect()} and {6, 7} & left
+    assert mixing.mix(empty(spark)).count() == 0
+    assert set(mixing.permuted(edges).where("text is null or trim(text) = ''").select("__size").distinct().toPandas()["__size"]) == {0}
+
+
+def fair(sizes, weights=(3, 1, 2)):
+    """Targets by bisection on the common level, apart from the module's own way."""
+    w, low, high = [weights[k % 3] for k in range(len(sizes))], 0.0, 4.0 * sum(sizes)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * s, level * x) for s, x in zip(sizes, w, strict=True)) < 1.5 * sum(sizes) else (low, level)
+    return [min(2 * s, high * x) for s, x in zip(sizes, w, strict=True)]
+
+
+def test_mixing_meets_targets_of_supplied_sources(spark):
+    rows = queries.op6_mixing(spark, "/root/testdata/sf0.01").collect()
+    sizes, aims, took = {}, {}, {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text").collect():
+        sizes[r.source] = sizes.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    names = sorted(sizes, key=lambda x: (x is None, x))
+    want = dict(zip(names, fair([sizes[n] for n in names]), strict=True))
+    source = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").collect()}
+    for r in rows:
+        took[source[r.doc_id]] = took.get(source[r.doc_id], 0) + r.taken
+        aims[source[r.doc_id]] = r.target
+        assert r.taken <= 2 * r["size"]
+    assert 22905 in sizes.values()
+    for n in names:
+        assert aims[n] == pytest.approx(want[n]) and took[n] == pytest.approx(want[n], rel=0.01), n
+
+
+def test_mixing_fills_beyond_a_block_with_a_huge_document(spark):
+    big = [(0, "w " * 60_000, "a")]
+    small = [(k, "w " * 25, "a") for k in range(1, 6000)]
+    other = [(10_000 + k, "w " * 25, "b") for k in range(3000)]
+    docs = spark.createDataFrame(big + small + other, "doc_id long, text string, source string")
+    got = mixing.taken(parts := mixing.permuted(docs), mixing.plan(parts)).groupBy("source", "target").agg(F.sum(F.col("__copies") * F.col("__size")).alias("t")).collect()
+    for r in got:
+        assert r.t == pytest.approx(r.target, rel=0.002)
+    assert mixing.mix(docs, shards=3).rdd.getNumPartitions() == 3
+
+
+def test_hypergeometric_is_exact_at_any_size():
+    import math
+
+    rng = np.random.default_rng(3)
+    for good, bad, sample in ((5, 7, 4), (1, 30, 9), (40, 3, 20), (60, 60, 60)):
+        n = 20_000
+        got = np.bincount([mixing.hypergeometric(good, bad, sample, rng) for _ in range(n)], minlength=sample + 1) / n
+        for k in range(sample + 1):
+            p = math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample)
+            assert abs(got[k] - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-9
+    good, bad, sample = 3 * 10**10, 5 * 10**10, 10**10
+    draws = np.array([mixing.hypergeometric(good, bad, sample, rng) for _ in range(200)], float)
+    mean, dev = sample * good / (good + bad), math.sqrt(sample * 3 / 8 * 5 / 8 * 7 / 8)
+    assert abs(draws.mean() - mean) < 5 * dev / math.sqrt(200) and 0.8 * dev < draws.std() < 1.2 * dev
+    table = mixing.split(np.array([3 * 10**9, 10**9 + 1]), 4, rng)
+    assert table.sum(0).tolist() == [3 * 10**9, 10**9 + 1] and np.ptp(table.sum(1)) <= 2
 
 
 def test_mixing_query_follows_the_tree(spark, tmp_path, monkeypatch):
