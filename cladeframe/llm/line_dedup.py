@@ -14,12 +14,18 @@ so a line, run or text that is everywhere is a row a task.
 
 Only what can matter is sorted: equal texts are one sequence (later documents with it are copies
 from end to end), and a sequence is a stretch of lines that each occur twice or more, with at least
-MIN_WORDS words. Line IDs have 64 bits and the names of longer runs 128.
+MIN_WORDS words. Line IDs and the names of longer runs have 128 bits; whether a line occurs twice is
+first asked of 64 of them, which only lets more lines in.
+
+Lines and intervals are joined with what is known of them by their names. A name that stands for
+more than a share of 1 / SHARES of the rows (and FEW rows) is dealt to as many parts as it has such shares, so a
+line that is everywhere is spread over the tasks; fewer than SHARES names can be so common.
 
 Corpus order is by doc_id, null last, then by the text's digest, then by line. Lines are what
 newlines separate; an empty line is a line of no words.
 
-Defined results: a null text is empty, one line without words. Rows with equal doc_id and text are
+Runs below MIN_WORDS words stay however often they recur: headings, list items and idioms are no
+copies. Defined results: a null text is empty, one line without words. Rows with equal doc_id and text are
 one document: each of them gets the same result. Runs may repeat within a document. Documents of
 which nothing is left are dropped by deduplicated(). Only doc_id and text are read (and n_chars
 written, if there is such a column), so other columns can't clash.
@@ -39,26 +45,49 @@ from .common import checkpoint, small_batches
 
 #: Fewest words of a run that is deleted where it occurs again.
 MIN_WORDS = 50
+#: A key with more than this part of the rows of a join is split, but not one with so few rows.
+SHARES, FEW = 1000, 2000
 
-LINES = "h array<long>, w array<int>"
-SEGMENT = "x boolean, doc_id long, own binary, at int, w array<int>, a array<long>, b array<long>"
+LINES = "struct<h:array<long>,g:array<long>,w:array<int>>"
+SEGMENT = "x boolean, doc_id string, own binary, at int, w array<int>, a array<long>, b array<long>"
 
 
 def line_ids(text: str) -> Column:
-    """A column with the ID and the number of words of each line."""
+    """A column with both halves of the ID and the number of words of each line."""
 
-    @F.pandas_udf(f"struct<{LINES.replace(' ', ':', 1).replace(', w ', ',w:')}>")
+    @F.pandas_udf(LINES)
     def of(texts: pd.Series) -> pd.DataFrame:
-        h, w = [], []
+        h, g, w = [], [], []
         for t in texts:
             lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
-            h.append(np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64).view(np.int64))
+            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").astype(np.int64)
+            g.append(both[::2])
+            h.append(both[1::2])
             w.append([len(x.split()) for x in lines])
-        return pd.DataFrame({"h": h, "w": w})
+        return pd.DataFrame({"h": h, "g": g, "w": w})
 
     return of(F.col(text))
 
 
+def joined_evenly(rows: DataFrame, found: DataFrame, keys: list[str], spread: Column, how: str) -> DataFrame:
+    """rows joined with found (a row for each key, n: how many of rows have it). Common keys are dealt to several parts.
+
+    A key with more than FEW rows and more than a share of 1 / SHARES of all n is split by the hash
+    spread; fewer than SHARES keys can be, so their list is bounded and is broadcast.
+    """
+    total, most = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    part = max(FEW, total // SHARES)
+    if most <= part:
+        return rows.join(found, keys, how)
+    hot = found.where(F.col("n") > part).select(*keys, F.ceil(F.col("n") / part).alias("parts")).collect()
+    kind = ", ".join([*(f"{k} {found.schema[k].dataType.simpleString()}" for k in keys), "__parts long"])
+    split = F.broadcast(rows.sparkSession.createDataFrame([tuple(r) for r in hot], kind))
+    left = rows.join(split, keys, "left").withColumn("__part", F.coalesce(F.pmod(spread, F.col("__parts")), F.lit(0).cast("long"))).drop("__parts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__parts", F.lit(1).cast("long")) - 1))
+    right = found.join(split, keys, "left").withColumn("__part", each).drop("__parts")
+    return left.join(right, [*keys, "__part"], how).drop("__part")
+
+
 def mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit name for each pair of names."""
     x = (a ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
@@ -70,19 +99,19 @@ def mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
 
 
 def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stretches of neighbouring repeated lines with MIN_WORDS words or more; rows: a text's repeated lines in order."""
+    """Stretches of neighbouring repeated lines with MIN_WORDS words or more; rows: a text's repeated lines in order.
+
+    doc_id travels as text, so that numbers with nulls beside them stay exact."""
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
             i = np.array([x["i"] for x in r.lines], np.int64)
-            h = np.array([x["h"] for x in r.lines], np.int64)
+            h, g = np.array([x["h"] for x in r.lines], np.int64), np.array([x["g"] for x in r.lines], np.int64)
             w = np.array([x["w"] for x in r.lines], np.int64)
             for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i) != 1) + 1):
                 if w[part].sum() >= MIN_WORDS:
-                    out.append((r.x, r.doc_id, r.own, int(i[part[0]]), w[part].astype(np.int32), h[part], mixed(h[part].view(np.uint64), h[part].view(np.uint64), 3).view(np.int64)))
-        frame = pd.DataFrame(out, columns=["x", "doc_id", "own", "at", "w", "a", "b"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+                    out.append((r.x, r.doc_id, r.own, int(i[part[0]]), w[part].astype(np.int32), h[part], g[part]))
+        yield pd.DataFrame(out, columns=["x", "doc_id", "own", "at", "w", "a", "b"])
 
 
 def names(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +164,8 @@ def shared_prefixes(sequences: DataFrame) -> DataFrame:
         by = states.groupBy("uid").agg(F.collect_list(F.struct("p", "cur", "c1", "c2", "best")).alias("states"))
         tried = by.join(sequences.select("uid", "a", "b"), "uid").select("uid", "a", "b", "states").mapInPandas(candidates(level), f"{STATE}, fits boolean, k1 long, k2 long")
         tried = checkpoint(tried.withColumn("place", F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("p").cast("decimal(20,0)")))
-        met = tried.where("fits").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-        inner = tried.where("fits").join(met, ["k1", "k2"], "left")
+        met = checkpoint(tried.where("fits").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"))
+        inner = joined_evenly(tried.where("fits"), met, ["k1", "k2"], F.xxhash64("uid", "p"), "left")
         more = (F.col("cur") + (1 << level)).alias("cur")
         on = inner.where("n is not null").select("uid", "p", more, F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.when(F.col("place") > F.col("first"), F.greatest("best", F.col("cur") + (1 << level))).otherwise(F.col("best")).alias("best"))
         stay = inner.where("n is null or place = first").select("uid", "p", "cur", "c1", "c2", "best")
@@ -167,17 +196,18 @@ def marks(docs: DataFrame) -> DataFrame:
     """For every different (doc_id, text): doc_id, own (the text's digest), n_lines, n_words, and the ranges (start, end) of lines to delete."""
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("own"), line_ids("text").alias("l")).select("doc_id", "own", "l.h", "l.w")
-    slim = checkpoint(slim)
+    slim = checkpoint(docs.select("doc_id", F.unhex(F.md5(text)).alias("own"), line_ids("text").alias("l")).select("doc_id", "own", "l.*"))
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id")
     first = slim.groupBy("own").agg(F.min(order).alias("o"))
     # equal texts are one sequence: lines of the first document with it
-    whole = slim.groupBy("own").agg(F.first(F.struct("h", "w")).alias("l"), F.min(order).alias("o")).select("own", F.col("o.x").alias("x"), F.col("o.doc_id").alias("doc_id"), "l.h", "l.w")
+    whole = slim.groupBy("own").agg(F.first(F.struct("h", "g", "w")).alias("l"), F.min(order).alias("o")).select("own", F.col("o.x").alias("x"), F.col("o.doc_id").alias("doc_id"), "l.*")
     whole = checkpoint(whole.where(F.aggregate("w", F.lit(0), lambda s, x: s + x) >= MIN_WORDS))
-    again = whole.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    lines = whole.select("x", "doc_id", "own", F.posexplode(F.arrays_zip("h", "w")).alias("i", "l")).select("x", "doc_id", "own", "i", "l.h", "l.w")
-    rows = lines.join(again, "h").groupBy("x", "doc_id", "own").agg(F.sum("w").alias("s"), F.sort_array(F.collect_list(F.struct("i", "h", "w"))).alias("lines"))
-    rows = rows.where(F.col("s") >= MIN_WORDS).select("x", "doc_id", "own", "lines").mapInPandas(segments, SEGMENT)
+    again = checkpoint(whole.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    lines = whole.select("x", "doc_id", "own", F.posexplode(F.arrays_zip("h", "g", "w")).alias("i", "l")).select("x", "doc_id", "own", "i", "l.*")
+    rows = joined_evenly(lines, again, ["h"], F.xxhash64("own", "i"), "inner")
+    rows = rows.groupBy("x", "doc_id", "own").agg(F.sum("w").alias("s"), F.sort_array(F.collect_list(F.struct("i", "h", "g", "w"))).alias("lines"))
+    rows = rows.where(F.col("s") >= MIN_WORDS).select("x", F.col("doc_id").cast("string").alias("doc_id"), "own", "lines").mapInPandas(segments, SEGMENT)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     # a number that rises in corpus order, fixed by the checkpoint
     sequences = checkpoint(rows.orderBy("x", "doc_id", "own", "at").withColumn("uid", F.monotonically_increasing_id()))
     prefixes = shared_prefixes(sequences.select("uid", "a", "b", "w")).groupBy("uid").agg(F.collect_list(F.struct("p", "best")).alias("found"))
@@ -194,7 +224,7 @@ def marks(docs: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_deleted and deleted (line ranges, the end exclusive) of every row."""
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("own"))
+    keys = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("own"))
     found = marks(docs).withColumnsRenamed({"doc_id": "__id", "own": "__own"})
     rows = keys.join(found, (F.col("own") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     count = F.aggregate("ranges", F.lit(0), lambda s, r: s + r["end"] - r["start"]).cast("long")
@@ -224,7 +254,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     found = marks(docs).where(F.size("ranges") > 0).select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), F.col("ranges").alias("__ranges"), F.col("n_lines").alias("__n"))
     whole = (F.size("__ranges") == 1) & (F.col("__ranges")[0]["start"] == 0) & (F.col("__ranges")[0]["end"] == F.col("__n"))
     rows = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    rows = rows.join(found, (F.col("__key") == F.col("__own")) & rows["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left").where(F.col("__ranges").isNull() | ~whole)
+    rows = rows.join(found, (F.col("__key") == F.col("__own")) & rows["doc_id"].eqNullSafe(F.col("__id")), "left").where(F.col("__ranges").isNull() | ~whole)
     text = F.when(F.col("__ranges").isNull(), F.col("text")).otherwise(kept_text(F.when(F.col("__ranges").isNotNull(), F.col("text")), F.coalesce("__ranges", F.array().cast("array<struct<start:int,end:int>>"))))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -396,6 +396,27 @@ def test_line_dedup_against_brute_force(spark):
         assert kept.get(d) == ("\n".join(left) if left else None)
 
 
+def test_line_dedup_spreads_common_lines(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARES", 3)
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    rng = random.Random(12)
+    common, run = prose(rng, 30), "\n".join(prose(rng, 15) for _ in range(5))
+    rows = [(f"d{k:03}", "\n".join([f"{k} {prose(rng, 9)}", common, run if k % 3 else f"x{k}", common, f"end {k}"])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    expected = later_runs(rows)
+    for r in line_dedup.apply(docs).collect():
+        got = {i for x in filter(None, r.deleted.split(",")) for i in range(*map(int, x.split("-")))}
+        assert got == expected[(r.doc_id, dict(rows)[r.doc_id])], r
+
+
+def test_line_dedup_keeps_large_numbers(spark):
+    text = "\n".join(" ".join("abcdefghij") + f" {k}" for k in range(8))
+    big = 2**60
+    rows = [(big + k, f"head {k}\n{text}") for k in range(3)] + [(None, f"none\n{text}")]
+    got = {r.doc_id: r.deleted for r in line_dedup.apply(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {big: "", big + 1: "1-9", big + 2: "1-9", None: "1-9"}
+
+
 def test_line_dedup_edges(spark, edges):
     assert line_dedup.apply(edges).count() == edges.count()
     assert line_dedup.deduplicated(edges).columns == edges.columns
