@@ -43,7 +43,7 @@ TOTAL, MOST = 1.5, 2.0
 #: Mean documents in a block, blocks that are summed together first, seed.
 BLOCK, WIDE, SEED = 1024, 4096, 11
 #: Words of the mix in a shard, and the fewest shards.
-SHARD_WORDS, LEAST_SHARDS = 32_000_000, 16
+SHARD_WORDS, LEAST_SHARDS = 8_000_000, 4
 #: A target is filled until no more than this share of it is open.
 CLOSE = 0.0005
 #: The per-source tables live on the driver; more sources than this are refused, and shards are made larger
