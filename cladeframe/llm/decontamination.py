@@ -10,15 +10,19 @@ an alignment restricted to its diagonals, which finds the region with the fewest
 Texts are compared with letters in lower case and each white space as a blank, character by
 character, so positions are code points of the text itself. The items are a stated query set: they
 are taken in blocks of at most BLOCK characters, each run against all rows; a text of any length is
-cut into overlapping pieces in which every possible match is whole.
+cut into overlapping pieces in which every possible match is whole. Shared q-grams are counted in
+slices along the text, and bands that the text has left behind are settled at once, so repeated
+q-grams (rulers, indents) take time but no memory. Items of fewer than Q characters allow no edit;
+they are found by a hash of all their characters.
 
-Defined results: a null text matches nothing; a null item, or one of fewer than LEAST characters,
-has no matches. Repeated rows and repeated items each get their own matches. An empty benchmark
+Defined results: a null text matches nothing; a null item, or one without any character but white
+space, has no matches. Repeated rows and repeated items each get their own matches. An empty benchmark
 marks nothing. Only doc_id and text (and item_id and text) are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Length of a q-gram, share of edits, and the fewest characters of an item that can match.
-Q, RATE, LEAST = 8, 0.08, 16
-#: Characters of items in a block, and of texts handled at once.
-BLOCK, PIECE = 4_000_000, 1 << 20
+#: Length of a q-gram, and share of edits.
+Q, RATE = 8, 0.08
+#: Characters of items in a block, of texts handled at once, and shared q-grams counted at once.
+BLOCK, PIECE, SLICE = 4_000_000, 1 << 20, 1 << 20
 #: Bands that share an alignment at most.
 MERGED = 4
 PRIME, SPREAD, BITS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 22
@@ -68,55 +72,91 @@ def gram_hashes(c: np.ndarray) -> np.ndarray:
     return h
 
 
+def window_hashes(c: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size characters at each position."""
+    h = np.zeros(max(0, len(c) - size + 1), np.uint64)
+    for j in range(size if len(h) else 0):
+        h = h * np.uint64(PRIME) + c[j : j + len(h)].astype(np.uint64)
+    return h
+
+
 class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids = [i for i, _ in items]
-        self.codes = [codes(t) for _, t in items]
+        known = [(i, c) for i, t in items if ((c := codes(t)) != 32).any()]
+        self.ids = [i for i, _ in known]
+        self.codes = [c for _, c in known]
         m = np.array([len(c) for c in self.codes], np.int64)
         # an item too short for its share of edits is allowed as many as the lemma can bound
         self.edits = np.maximum(0, np.minimum((m * RATE).astype(np.int64), (m - Q) // Q))
         self.bound = m - Q + 1 - self.edits * Q
         self.width = 2 * self.edits + 1
         self.length = m
-        h = [gram_hashes(c) for c in self.codes]
-        grams = np.concatenate(h)
-        item = np.repeat(np.arange(len(h)), [len(x) for x in h])
-        place = np.concatenate([np.arange(len(x)) for x in h])
+        long = np.flatnonzero(m >= Q)
+        self.least = int(self.bound[long].min()) if len(long) else 0
+        h = [gram_hashes(self.codes[k]) for k in long]
+        grams = np.concatenate([np.empty(0, np.uint64), *h])
+        item = np.repeat(long, [len(x) for x in h])
+        place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in h]])
         order = np.argsort(grams, kind="stable")
         self.item, self.place = item[order], place[order]
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[self.slot(self.grams)] = True
-        self.overlap = int((m + 4 * self.width).max()) + Q
+        self.overlap = int((m + 4 * self.width).max(initial=0)) + Q
+        #: hashes and numbers of the items shorter than Q, by length
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero(m < Q).tolist():
+            self.short.setdefault(len(self.codes[k]), {}).setdefault(int(window_hashes(self.codes[k], len(self.codes[k]))[0]), []).append(k)
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
         return (h * np.uint64(SPREAD)) >> np.uint64(64 - BITS)
 
+    def whole(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Matches (item, start, end, 0) of the items shorter than Q."""
+        out = []
+        for size, known in self.short.items():
+            h = window_hashes(c, size)
+            for at in np.flatnonzero(np.isin(h, np.array(list(known), np.uint64))).tolist():
+                out += [(k, at, at + size, 0) for k in known[int(h[at])] if np.array_equal(self.codes[k], c[at : at + size])]
+        return out
+
     def candidates(self, c: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first band, last band): runs of bands each of which, with the next, meets the item's bound."""
-        if len(c) < Q:
+        if len(c) < Q or not len(self.grams):
             return []
         h = gram_hashes(c)
         at = np.flatnonzero(self.filter[self.slot(h)])
         k = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         same = self.grams[k] == h[at]
         at, k = at[same], k[same]
-        if len(at) < self.bound.min():
+        if len(at) < self.least:
             return []
-        n = self.count[k]
-        occurrence = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item = self.item[occurrence]
-        diagonal = np.repeat(at, n) - self.place[occurrence]
-        key = item.astype(np.int64) * (1 << 40) + np.floor_divide(diagonal, self.width[item]) + (1 << 20)
-        key, count = np.unique(key, return_counts=True)
-        after = np.zeros_like(count)
-        after[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        found = key[count + after >= self.bound[key >> 40]]
+        ends = np.cumsum(self.count[k])
+        found, start = [], 0
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE, "right")))
+            n = self.count[k[start:stop]]
+            occurrence = np.repeat(self.first[k[start:stop]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item = self.item[occurrence]
+            diagonal = np.repeat(at[start:stop], n) - self.place[occurrence]
+            here = item.astype(np.int64) * (1 << 40) + np.floor_divide(diagonal, self.width[item]) + (1 << 20)
+            more, n = np.unique(here, return_counts=True)
+            keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, n])).astype(np.int64)
+            item = keys >> 40
+            over = np.ones(len(keys), bool)
+            if stop < len(at):  # what comes lies on this diagonal or later ones; a band needs the next to be complete
+                over = ((keys & ((1 << 40) - 1)) - (1 << 20) + 2) * self.width[item] <= at[stop] - (self.length[item] - Q)
+            after = np.zeros_like(counts)
+            after[:-1] = np.where(keys[1:] == keys[:-1] + 1, counts[1:], 0)
+            found.append(keys[over & (counts + after >= self.bound[item])])
+            keys, counts, start = keys[~over], counts[~over], stop
         runs: list[tuple[int, int, int]] = []
-        for x in found.tolist():
+        for x in np.sort(np.concatenate(found)).tolist():
             item, band = x >> 40, (x & ((1 << 40) - 1)) - (1 << 20)
             if runs and runs[-1][0] == item and runs[-1][2] >= band and runs[-1][2] - runs[-1][1] < MERGED:
                 runs[-1] = (item, runs[-1][1], band + 1)
@@ -165,8 +205,13 @@ def verified(index: Index, c: np.ndarray, item: int, first: int, last: int) -> t
 def best(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of overlapping matches (item, start, end, edits) of an item, that with the fewest edits."""
     out: list[tuple[int, int, int, int]] = []
+    taken: dict[int, tuple[list[int], list[int]]] = {}
     for x in sorted(set(found), key=lambda x: (x[3], x[1], x[2])):
-        if not any(x[0] == y[0] and x[1] < y[2] and y[1] < x[2] for y in out):
+        starts, ends = taken.setdefault(x[0], ([], []))
+        at = bisect.bisect_left(starts, x[2])  # of those that start before its end, the last reaches furthest
+        if not at or ends[at - 1] <= x[1]:
+            starts.insert(at, x[1])
+            ends.insert(at, x[2])
             out.append(x)
     return sorted(out)
 
@@ -197,11 +242,12 @@ def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
         pieces.clear()
 
     for row, text in enumerate(texts):
-        if not text or len(text) < LEAST:
+        if not text:
             continue
         c = codes(text)
         for offset in range(0, max(1, len(c) - index.overlap), PIECE):
             piece = c[offset : offset + PIECE + index.overlap]
+            out[row] += [(k, s + offset, e + offset, n) for k, s, e, n in index.whole(piece)]
             pieces.append((row, offset, piece))
             size += len(piece)
             if size > PIECE:
@@ -215,7 +261,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of the items, in blocks of at most BLOCK characters."""
     held: list[tuple[int, str]] = []
     size = 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), "text").where(F.length("text") >= LEAST).orderBy("i", "text").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), "text").where("text is not null").orderBy("i", "text").toLocalIterator():
         held.append((r.i, r.text))
         size += len(r.text)
         if size > BLOCK:

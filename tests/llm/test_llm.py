@@ -343,9 +343,39 @@ def test_decontamination_against_brute_force():
         assert got == expected
 
 
+def test_decontamination_of_short_items_against_brute_force():
+    rng = random.Random(13)
+    items = [(k, "".join(rng.choice("abc ") for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 11, 13, 15] * 2)] + [(90, "   "), (91, "")]
+    index = decontamination.Index(items)
+    plain = {i: "".join(map(chr, decontamination.codes(t))) for i, t in items}
+    assert index.edits.max() == 0
+    for n in (0, 1, 6, 7, 8, 60, 400):
+        text = "".join(rng.choice("aBc\n ") for _ in range(n))
+        low = "".join(map(chr, decontamination.codes(text)))
+        got = {index.ids[i] for i, s, e, _ in decontamination.matches(index, [text])[0] if low[s:e] == plain[index.ids[i]]}
+        assert got == {i for i, t in plain.items() if t.strip() and t in low}, text
+
+
+def test_decontamination_of_repeated_grams(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(14)
+    index = decontamination.Index([(0, "- " * 60), (1, prose(rng, 20)), (2, "ab" * 40 + "x")])
+    texts = ["- " * 300 + prose(rng, 30) + " - " * 90, "ab" * 100 + "x" + "ab" * 50, prose(rng, 20) + "- " * 61]
+    whole = [index.candidates(decontamination.codes(t)) for t in texts]
+    monkeypatch.setattr(decontamination, "SLICE", 50)
+    assert [index.candidates(decontamination.codes(t)) for t in texts] == whole and all(whole)
+    monkeypatch.undo()
+    tracemalloc.start()
+    found = decontamination.matches(index, ["- " * 500_000])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 400 << 20, peak
+
+
 def test_decontamination_tables(spark, edges):
     rng = random.Random(9)
-    items = [prose(rng, 20), None, "short", prose(rng, 20)]
+    items = [prose(rng, 20), None, "shortly", prose(rng, 20)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = documents(spark, [prose(rng, 50), f"{prose(rng, 9)} {items[0].upper()} end", items[3], *EDGES])
     assert {(r.doc_id, r.item_id) for r in decontamination.apply(docs, bench, ["doc_id"]).collect()} == {(1, 0), (2, 3)}
