@@ -10,7 +10,9 @@ no base span are added, unless their checksum or range is wrong; base spans stay
 
 Positions are code points. They come from the lengths of the pieces between matches, so regular
 expressions run inside the JVM and no Python touches a row. Patterns use possessive repeats: each
-is linear in the text, and no repeat recurses.
+is linear in the text, and no repeat recurses. Running totals are made in blocks of blocks, the words
+beside a candidate come from the pieces beside it, and overlaps are counted by ranks in sorted
+arrays, so the work on one text grows with its length, not with the square of its matches.
 
 The table of vote patterns and features has at most 3 ** 6 times a few hundred rows, whatever the
 data; the models are fitted on it by the driver.
@@ -23,6 +25,7 @@ is added. Only doc_id and text are read, so other columns can't clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,23 +52,79 @@ AGAINST = "version|isbn|issn|order|invoice|serial|sku|doi|part|model|build|relea
 LABELERS = ("strict", "checked", "domain", "before_for", "before_against", "border")
 
 EM_STEPS, FIT_STEPS, RATE, ACCEPT = 50, 400, 0.5, 0.9
+#: Characters before a candidate that are looked at, and so many candidates as surely fill them.
+BEFORE, FILLING = 24, 5
+#: Elements of an array whose running totals are made at once, and how often blocks are made of blocks.
+STEP, NESTED = 64, 2
 #: Pseudo-counts of each vote given the truth: a labeler is right more often than wrong before any data.
 PRIOR_RIGHT, PRIOR_WRONG, PRIOR_NONE = 8.0, 2.0, 5.0
 
 
+SPANS = "array<struct<start:int,end:int,found:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is made once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(a: Column, nested: int = NESTED) -> Column:
+    """Running totals of an array of ints. Blocks of STEP are summed by themselves and moved by the totals before them."""
+
+    def add(state: Column, x: Column) -> Column:
+        total = state["total"] + x
+        return F.struct(total.alias("total"), F.concat(state["out"], F.array(total)).alias("out"))
+
+    def plain(x: Column) -> Column:
+        first = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, first, add, lambda s: s["out"])
+
+    def shifted(inner: Column) -> Column:
+        totals = running(F.transform(inner, lambda x: F.element_at(x, -1)), nested - 1)
+        before = F.slice(F.concat(F.array(F.lit(0)), totals), 1, F.size(inner))
+        return F.flatten(F.zip_with(inner, before, lambda x, n: F.transform(x, lambda y: y + n)))
+
+    if not nested:
+        return plain(a)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / STEP).cast("int")), lambda i: plain(F.slice(a, i * STEP + 1, STEP)))
+    return F.when(F.size(a) <= STEP, plain(a)).otherwise(let(blocks, shifted))
+
+
+def spans_between(pieces: Column, found: Column) -> Column:
+    """Array of (start, end, found) of matches and the pieces between them, in code points."""
+    ends = running(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.char_length(p) + F.char_length(m)))
+    return F.zip_with(ends, found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("found")))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, found) of a pattern's matches, in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:int,end:int,found:string>>"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda p: spans_between(p, m))).otherwise(none()))
 
-    def add(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["piece"])
-        end = start + F.char_length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("found")))).alias("out"))
 
-    pairs = F.filter(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("piece"), m.alias("match"))), lambda x: x["match"].isNotNull())
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(pairs, first, add, lambda s: s["out"])
+def with_context(pieces: Column, found: Column) -> Column:
+    """Spans with the BEFORE characters before them and the one after.
+
+    Where the piece before a match is shorter, the matches and pieces before it fill it up: a
+    candidate has five characters or more, so FILLING of them do.
+    """
+
+    def tail(x: Column) -> Column:
+        return F.right(x, F.lit(BEFORE))
+
+    def all_of(spans: Column, tails: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            piece, after = F.get(pieces, i), F.get(pieces, i + 1)
+            # get() of a negative place is null, which concat_ws leaves out
+            filled = tail(F.concat_ws("", *[F.get(tails, i - k) for k in range(FILLING, 0, -1)], tail(piece)))
+            before = F.when(F.char_length(piece) >= BEFORE, tail(piece)).otherwise(filled)
+            right = F.when(after != "", F.left(after, F.lit(1))).otherwise(F.coalesce(F.left(F.get(found, i + 1), F.lit(1)), F.lit("")))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["found"].alias("found"), before.alias("before"), right.alias("right"))
+
+        return F.transform(spans, one)
+
+    tails = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.concat(tail(p), tail(m)))
+    return let(spans_between(pieces, found), lambda s: let(tails, lambda t: all_of(s, t)))
 
 
 def only(found: Column) -> Column:
@@ -91,7 +150,7 @@ def octets(found: Column) -> Column:
 
 
 def none() -> Column:
-    return F.array().cast("array<struct<start:int,end:int,found:string>>")
+    return F.array().cast(SPANS)
 
 
 def base(text: Column) -> list[Column]:
@@ -110,7 +169,10 @@ def vote(yes: Column, no: Column) -> Column:
 
 def judged(text: Column) -> Column:
     """Candidates of a text with their kind, votes and features."""
-    seen = F.when(F.regexp_like(text, F.lit("[0-9@]|[\\[(] ?(?:at|AT) ?[\\])]")), located(text, CANDIDATE)).otherwise(none())
+    kind = "array<struct<start:int,end:int,found:string,before:string,right:string>>"
+    possible = F.regexp_like(text, F.lit("[0-9@]|[\\[(] ?(?:at|AT) ?[\\])]"))
+    found = F.when(possible, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    seen = let(found, lambda m: F.when(F.size(m) > 0, let(F.split(text, CANDIDATE, -1), lambda p: with_context(p, m))).otherwise(F.array().cast(kind)))
 
     def one(s: Column) -> Column:
         found, digits = s["found"], only(s["found"])
@@ -118,9 +180,7 @@ def judged(text: Column) -> Column:
         ip = ~email & F.regexp_like(found, F.lit(f"^{IP}$"))
         phone = ~email & ~ip & F.regexp_like(found, F.lit("[^0-9]"))
         card = ~email & ~ip & ~phone
-        before = F.lower(F.substr(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24))))
-        left = F.substr(text, s["start"], F.least(s["start"], F.lit(1)))
-        right = F.substr(text, s["end"] + 1, F.lit(1))
+        before, left, right = F.lower(s["before"]), F.right(s["before"], F.lit(1)), s["right"]
         long = F.length(digits)
         strict = vote(F.regexp_like(found, F.lit(f"^(?:{EMAIL})$")) | (ip & octets(found)) | (card & long.between(16, 19)) | (phone & (long == 10)), card & (long < 16))
         checked = F.when(card, vote(luhn(digits), ~luhn(digits))).when(ip, vote(octets(found), ~octets(found))).otherwise(0)
@@ -204,19 +264,38 @@ def accepted(s: Column, model: Model) -> Column:
     return total >= math.log(ACCEPT / (1 - ACCEPT))
 
 
+def apart(spans: Column, others: Column) -> Column:
+    """Those of the spans, ordered and without overlaps among them, that overlap none of the others.
+
+    A span overlaps as many others as start before its end, less those that end before its start.
+    Both numbers are ranks in a sorted array.
+    """
+
+    def ranks(counted: str, asked: str, first: int) -> Column:
+        def row(name: str, order: int, value: int) -> Callable[[Column], Column]:
+            return lambda x: F.struct(x[name].alias("at"), F.lit(order).alias("order"), F.lit(value).alias("value"))
+
+        events = F.sort_array(F.concat(F.transform(others, row(counted, 1 - first, 1)), F.transform(spans, row(asked, first, 0))))
+        return let(events, lambda e: F.filter(F.zip_with(e, running(F.transform(e, lambda x: x["value"])), lambda x, n: F.when(x["value"] == 0, n)), lambda n: n.isNotNull()))
+
+    overlaps = F.zip_with(ranks("start", "end", 0), ranks("end", "start", 1), lambda a, b: a - b)
+    return F.transform(F.filter(F.zip_with(spans, overlaps, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: x["n"] == 0), lambda x: x["s"])
+
+
 def apply(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns named in keep and the spans of every row."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(*keep, text.alias("__text")).withColumn("__base", F.array(*base(F.col("__text")))).withColumn("__more", judged(F.col("__text")))
     shape = "array<struct<kind:int,start:int,end:int>>"
     ours = F.flatten(F.transform("__base", lambda a, k: F.transform(a, lambda s: F.struct(k.alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))).cast(shape)
-    out = slim.select(*keep, "__base", "__more", ours.alias("__ours"))
-    free = F.filter("__more", lambda m: (m["checked"] >= 0) & accepted(m, model) & ~F.exists("__ours", lambda o: (o["start"] < m["end"]) & (m["start"] < o["end"])))
-    more = F.transform(free, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))).cast(shape)
+    good = F.transform(F.filter("__more", lambda m: (m["checked"] >= 0) & accepted(m, model)), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))).cast(shape)
+    out = slim.select(*keep, "__base", ours.alias("__ours"), good.alias("__good"))
+    free = F.when(F.size("__good") > 0, apart(F.col("__good"), F.col("__ours"))).otherwise(F.col("__good"))
+    out = out.select(*keep, "__base", "__ours", free.alias("__free"))
     names = F.array(*[F.lit(k) for k in KINDS])
 
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
     counts = [F.size(F.col("__base")[k]).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return out.select(*keep, *counts, F.sha2(joined(F.col("__ours")), 256).alias("base_sha256"), joined(F.concat("__ours", more)).alias("spans"))
+    return out.select(*keep, *counts, F.sha2(joined(F.col("__ours")), 256).alias("base_sha256"), joined(F.concat("__ours", "__free")).alias("spans"))

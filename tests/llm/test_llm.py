@@ -203,6 +203,82 @@ def test_pii(spark):
     assert pii.apply(empty(spark), pii.fit(empty(spark)), ["doc_id"]).count() == 0
 
 
+def test_expectation_maximisation_finds_reliable_labelers():
+    rng = random.Random(15)
+    right = (0.95, 0.9, 0.85, 0.8, 0.9, 0.5)  # the last labeler guesses
+    counts, truths = {}, {}
+    for _ in range(6000):
+        y = rng.random() < 0.4
+        v = tuple(0 if rng.random() < 0.2 else (1 if y == (rng.random() < p) else -1) for p in right)
+        counts[v] = counts.get(v, 0) + 1
+        truths.setdefault(v, [0, 0])[y] += 1
+    found = pii.expectation_maximisation(sorted(counts.items()))
+    # against the posterior of the true reliabilities
+    wrong = best = 0
+    for v, n in counts.items():
+        yes, no = 0.4, 0.6
+        for x, p in zip(v, right, strict=True):
+            yes, no = (yes, no) if x == 0 else (yes * p, no * (1 - p)) if x > 0 else (yes * (1 - p), no * p)
+        assert n < 30 or abs(found[v] - yes / (yes + no)) < 0.1, v
+        wrong += truths[v][found[v] < 0.5]
+        best += truths[v][yes < no]
+    assert wrong <= 1.2 * best < 300
+    guess = [abs(found[(*v[:5], 1)] - found[(*v[:5], -1)]) for v in counts if (*v[:5], 1) in found and (*v[:5], -1) in found and counts[v] >= 30]
+    assert guess and max(guess) < 0.1
+
+
+def judged_plainly(text, weights):
+    """Added spans of a text, candidate by candidate."""
+    import math
+
+    import regex
+
+    def has(pattern, x):
+        return regex.search(pattern.replace(r"\pL", r"\p{L}").replace(r"\PL", r"\P{L}").replace(r"\pN", r"\p{N}"), x) is not None
+
+    def luhn(d):
+        return bool(d) and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    taken = [tuple(map(int, x.split(":")[1:])) for x in base_spans(text).split(",") if x]
+    out = []
+    for m in regex.finditer(pii.CANDIDATE, text):
+        found, digits = m[0], regex.sub("[^0-9]", "", m[0])
+        email = "@" in found or has(r"[\[(] ?(?:at|AT) ?[\])]", found)
+        ip = not email and has(f"^{pii.IP}$", found)
+        phone = not email and not ip and has("[^0-9]", found)
+        card = not (email or ip or phone)
+        small = all(int(x) <= 255 for x in found.split(".")) if ip else False
+        before = text[max(0, m.start() - 24) : m.start()]
+        glued = has(r"[\pL\pN/#_=]", before[-1:]) or has(r"[\pL\pN/_=]", text[m.end() : m.end() + 1])
+        domain = 0 if not email else 1 if has(rf"(?:\.|[\])] ?)(?:{pii.DOMAINS})$", found.lower()) else -1
+        checked = (1 if luhn(digits) else -1) if card else (1 if small else -1) if ip else 0
+        seen = {
+            "kind": 0 if email else 1 if ip else 2 if card else 3, "size": min(len(found) // 8, 5), "digits": min(len(digits), 20), "checked": checked, "domain": domain,
+            "before_for": int(has(rf"(?<!\pL)(?:{pii.FOR})\PL{{0,4}}$", before.lower())), "before_against": -int(has(rf"(?<!\pL)(?:{pii.AGAINST})\PL{{0,4}}$", before.lower())), "border": -1 if glued else 1,
+        }
+        total = weights[("bias", 0)] + sum(weights.get((f, x), 0.0) for f, x in seen.items())
+        if checked >= 0 and total >= math.log(9) and not any(a < m.end() and m.start() < b for a, b in taken):
+            out.append(f"{pii.KINDS[seen['kind']]}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_pii_added_spans_against_a_plain_scan(spark):
+    rng = random.Random(16)
+    number = "".join(rng.choice("0123456789") for _ in range(400))
+    pieces = ["call", "phone:", "Tel", "order", "version", "mail", "555-123-4567", "(555) 123 4567", "joe [at] example [dot] com", "a.b (at) c.org", "4111111111111111", "411111111111111", "1.2.3.4", "x@y.de", "\n", "é", "/", "#", *[number[k : k + 13] for k in range(0, 39, 13)]]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(80)] + ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(30)) for _ in range(40)]
+    texts.append(" ".join(rng.choice(pieces) for _ in range(9000)))  # more matches than one block of running totals
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(docs)
+    added = 0
+    for r in pii.apply(docs, model, ["doc_id", "text"]).collect():
+        base = list(filter(None, base_spans(r.text).split(",")))
+        want = judged_plainly(r.text, model.weights)
+        assert sorted(r.spans.split(",") if r.spans else []) == sorted(base + want), r.text[:300]
+        added += len(want)
+    assert added > 50
+
+
 def test_mixing(spark, edges):
     rng = random.Random(6)
     rows = [(k, prose(rng, rng.randint(1, 40)), "en", rng.choice("aaaab") if k % 9 else None, 0, "x", "y", 1) for k in range(900)]
