@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,30 @@ def words(data: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without; it gets a temporary one."""
+    context = spark.sparkContext._jsc.sc()
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="checkpoint-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        held = context.getCheckpointDir()
+        if held.isDefined():
+            found = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            found = tempfile.mkdtemp(prefix="checkpoint-")
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the session's JVM ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, licenses, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, warc
-from .common import shared_dir, table
+from .common import scratch, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +17,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    at = scratch(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), at)
-    return warc.parsed(warc.read(spark, at))
+    return warc.parsed(spark, at)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

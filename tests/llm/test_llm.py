@@ -70,29 +70,38 @@ def test_quality_rules_do_not_depend_on_size(spark):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    pages = [(1, "u1", "<p>é</p>"), (2, "u2", "<p>é</p>"), (3, None, None), (4, "u4", ""), (5, "u5", "x" * 5000), (5, "u5", "x" * 5000), (None, "u6", "<p>é</p>")]
+    pages = [(1, "u1", "<p>é</p>"), (2, "u2", "<p>é</p>"), (3, None, None), (4, "u4", ""), (5, "u5", "x" * 5000), (5, "u5", "x" * 5000), (None, "u6", "<p>é</p>"), (7, "u\r\n7", "a\r\n\r\nb")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("key", F.lit(1))
     at = str(tmp_path / "a")
     warc.write(df, at)
-    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.parsed(warc.read(spark, at)).collect()}
+    got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.parsed(spark, at).collect()}
 
     def digest(t):
         return base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
 
-    assert got == {(1, "revisit", 2, 9, digest("<p>é</p>")), (2, "response", None, 9, digest("<p>é</p>")), (3, "revisit", 4, 0, digest("")), (4, "response", None, 0, digest("")), (5, "response", None, 5000, digest("x" * 5000)), (None, "revisit", 2, 9, digest("<p>é</p>"))}
+    assert got == {(1, "revisit", 2, 9, digest("<p>é</p>")), (2, "response", None, 9, digest("<p>é</p>")), (3, "revisit", 4, 0, digest("")), (4, "response", None, 0, digest("")), (5, "response", None, 5000, digest("x" * 5000)), (None, "revisit", 2, 9, digest("<p>é</p>")), (7, "response", None, 6, digest("a\r\n\r\nb"))}
     records = {r.page_id: bytes(r.record) for r in warc.records(spark, at).collect()}
     assert records[2].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[2].endswith("\r\n\r\n<p>é</p>".encode())
-    assert spark.read.parquet(f"{at}/payloads").count() == 3
+    assert records[7].endswith(b"\r\n\r\na\r\n\r\nb") and b"WARC-Target-URI: u%0D%0A7\r\n" in records[7]
+    assert spark.read.parquet(f"{at}/payloads").count() == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = warc.records(spark, at).select("record")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1  # headers move, payloads don't
     warc.export(spark, at, str(tmp_path / "w"))
-    assert spark.read.text(str(tmp_path / "w")).where("value = 'WARC/1.1'").count() == 7
+    assert spark.read.text(str(tmp_path / "w")).where("value = 'WARC/1.1'").count() == 8
     other = str(tmp_path / "b")
     warc.write(df, other, min_bytes=10)
-    assert {r.record_type for r in warc.parsed(warc.read(spark, other)).collect()} == {"response"}
+    assert {r.record_type for r in warc.parsed(spark, other).collect()} == {"response"}
     torn = str(tmp_path / "c")
     spark.read.parquet(f"{at}/headers").write.parquet(f"{torn}/headers")
+    spark.read.parquet(f"{at}/buckets").write.parquet(f"{torn}/buckets")
     spark.read.parquet(f"{at}/payloads").withColumn("payload", F.lit(b"?")).write.parquet(f"{torn}/payloads")
     with pytest.raises(Exception, match="doesn't match"):
         warc.read(spark, torn).select("digest").collect()
+    none = str(tmp_path / "d")
+    warc.write(df.where("false"), none)
+    assert warc.parsed(spark, none).count() == 0 and warc.records(spark, none).count() == 0
 
 
 def test_licenses(spark, edges):
