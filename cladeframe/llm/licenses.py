@@ -5,8 +5,10 @@ and five-word shingles, hashed. Windows of a few sizes slide over the shingles o
 overlapping the next; a window's band is the least value of one hash permutation over it. Templates
 are indexed at every offset with the window size that suits their length. A window inside a copy of
 a template equals a window of the template, so all its bands collide: the probability is 1. After
-edits, a window that shares a fraction s of its shingles collides in one of BANDS bands with
-probability 1 - (1 - s) ** BANDS, at least 0.9984 for s of 0.8, and a template has several windows.
+edits, two windows of w shingles that share a fraction s of them have the Jaccard similarity
+j = s / (2 - s) and collide in one of BANDS one-row bands with probability 1 - (1 - j) ** BANDS:
+0.988 for s of 0.8. A text that contains CONTAINED of a template's shingles has several windows, each
+of which may retrieve it, so it is missed more rarely; the tests measure the recall on edited copies.
 
 Each (template, place) that a band retrieves is verified exactly: the share of the template's
 different shingles, compared as hashes of all five words, that occur in the text around the window
@@ -29,8 +31,8 @@ SHINGLE, CONTAINED, BANDS = 5, 0.8, 4
 #: Window sizes in shingles; a template uses the largest of which two fit into it.
 WINDOWS = (1, 4, 16)
 MAX_SHINGLES = 100_000
-#: Odd multipliers of the hash permutations.
-MULTIPLIERS = (-7046029254386353131, 7664345821815920749, -4417276706812531889, 1609587929392839161)
+#: Keys of the hash permutations.
+KEYS = (-7046029254386353131, 7664345821815920749, -4417276706812531889, 1609587929392839161)
 
 #: Notices of common licenses, by SPDX identifier.
 TEMPLATES = (
@@ -75,8 +77,8 @@ def band(s: Column, start: Column, window: int, k: int) -> Column:
 
 
 def mixed(h: Column, k: int) -> Column:
-    """One permutation of the hashes: xor with its shifted self, then an odd multiplier."""
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 29 + k)).bitwiseXOR(F.lit(MULTIPLIERS[k]))
+    """One permutation of the hashes: xor with its shifted self (which can be undone), then with a key."""
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 29 + k)).bitwiseXOR(F.lit(KEYS[k]))
 
 
 class Templates:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -243,7 +244,12 @@ def example(rng: random.Random) -> tuple[str, list[tuple[int, int]], int]:
             more = "".join(rng.choice(LETTERS + LETTERS.upper() + DIGITS) for _ in range(rng.randint(12, LONGEST)))
             spans.append((len(text), len(text) + len(more)))
             text += more
-    text += end + "".join(" " + word(rng) for _ in range(2 * CHAIN))
+    text += end
+    if secret is not None and rng.random() < 0.4:  # what stands behind a secret is mostly none
+        path = "/".join(word(rng).lower() + rng.choice(("", f"-{rng.randint(0, 99)}")) for _ in range(rng.randint(1, 3)))
+        number = "-".join("".join(rng.choice(HEXES) for _ in range(k)) for k in (8, 4, 4, 4, 12))
+        text += rng.choice(("\n", ",\n", " ")) + rng.choice((f"{word(rng).upper()} /{path} {rng.randint(0, 999)}", f"{other}: {number}", f"https://{word(rng).lower()}.example/{path}", f"{word(rng).lower()}_{word(rng).lower()} = {rng.randint(0, 10**6)}"))
+    text += "".join(" " + word(rng) for _ in range(2 * CHAIN))
     return text, spans, len(front)
 
 
@@ -408,8 +414,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], weights: bytes | No
             out.append([start, 3, end])
         else:
             out[-1][2] = end
-    taken = [(s, e) for s, _, e in base]
-    return [tuple(x) for x in out if not any(s < x[2] and x[0] < e for s, e in taken)]
+    # the furthest end of the base spans that start before a span's end
+    starts, ends = [s for s, _, _ in base], list(itertools.accumulate((e for _, _, e in base), max))
+    return [tuple(x) for x in out if not (n := bisect.bisect_left(starts, x[2])) or ends[n - 1] <= x[0]]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

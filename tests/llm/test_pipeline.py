@@ -25,3 +25,32 @@ def test_stages_in_order_and_effects(spark, tmp_path):
     words = sum(len(r.text.split()) for r in out)
     assert abs(words - 1.5 * sum(len(t.split()) for t in {d: t for d, t in left.items()}.values())) < 0.2 * words
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near duplicates", "decontamination", "mixture"]
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def tables(spark, at, rows, labels, items, extra=""):
+    spark.createDataFrame(rows, KIND + extra).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, tmp_path, [], [], [])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(2)
+    long = [prose(rng, 80) for _ in range(12)]
+    rows = [(k, t, None if k % 4 else "en", None if k % 3 else "s", None, "x", "y", 1, 2) for k, t in enumerate(long)]
+    rows += [rows[0], rows[0], (None, long[1], None, None, None, None, None, None, None), (None, prose(rng, 80), None, None, None, None, None, None, None), (50, None, "en", "s", 0, "x", "y", 1, 2), (51, "", "en", "s", 0, "x", "y", 1, 2), (52, prose(rng, 5), "en", "s", 0, "x", "y", 1, 2)]
+    tables(spark, tmp_path, rows, [(0, 1, None), (None, 1, 0), (3, None, None)], [(0, None), (1, ""), (None, prose(rng, 30))], ", fp string, own string, shard int, size long")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns[:9] == ["doc_id", "text", "lang", "source", "n_chars", "fp", "own", "shard", "size"]
+    left = {r.doc_id for r in out.collect()}
+    assert not {50, 51, 52} & left and left <= {None, *range(12)}
+    # a repeated row counts once, whatever the mix takes of it
+    assert out.where("doc_id = 0").count() <= 2
