@@ -49,7 +49,7 @@ MIN_WORDS = 50
 SHARES, FEW = 1000, 2000
 
 LINES = "struct<h:array<long>,g:array<long>,w:array<int>>"
-SEGMENT = "x boolean, doc_id string, own binary, at int, w array<int>, a array<long>, b array<long>"
+SEGMENT = "x boolean, doc_id string, own binary, at int, w array<int>, r array<int>, a array<long>, b array<long>"
 
 
 def line_ids(text: str) -> Column:
@@ -110,8 +110,8 @@ def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w = np.array([x["w"] for x in r.lines], np.int64)
             for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i) != 1) + 1):
                 if w[part].sum() >= MIN_WORDS:
-                    out.append((r.x, r.doc_id, r.own, int(i[part[0]]), w[part].astype(np.int32), h[part], g[part]))
-        yield pd.DataFrame(out, columns=["x", "doc_id", "own", "at", "w", "a", "b"])
+                    out.append((r.x, r.doc_id, r.own, int(i[part[0]]), w[part].astype(np.int32), np.cumsum(w[part][::-1])[::-1].astype(np.int32), h[part], g[part]))
+        yield pd.DataFrame(out, columns=["x", "doc_id", "own", "at", "w", "r", "a", "b"])
 
 
 def names(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +152,11 @@ STATE = "uid long, p long, cur long, c1 long, c2 long, best long"
 def shared_prefixes(sequences: DataFrame) -> DataFrame:
     """(uid, p, best): the lines that the suffix at p of sequence uid shares with an earlier suffix.
 
-    sequences: uid (a long that rises in corpus order), a and b (two line IDs), w (words).
+    sequences: uid (a long that rises in corpus order), a and b (halves of line IDs), r (words from each line on).
     """
     longest = sequences.agg(F.max(F.size("a"))).first()[0] or 0
     # a suffix with fewer than MIN_WORDS words left can't be part of any run
-    left = F.aggregate(F.slice("w", F.col("p").cast("int") + 1, F.greatest(F.size("w") - F.col("p").cast("int"), F.lit(0))), F.lit(0), lambda s, x: s + x)
-    states = sequences.select("uid", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.size("w").cast("long") - 1)).alias("p")).where(left >= MIN_WORDS)
+    states = sequences.select("uid", F.posexplode("r").alias("p", "left")).where(F.col("left") >= MIN_WORDS).withColumn("p", F.col("p").cast("long"))
     zero = F.lit(0).cast("long")
     states = states.select("uid", "p", zero.alias("cur"), zero.alias("c1"), zero.alias("c2"), zero.alias("best"))
     for level in reversed(range(max(1, int(longest)).bit_length())):
@@ -210,7 +209,7 @@ def marks(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     # a number that rises in corpus order, fixed by the checkpoint
     sequences = checkpoint(rows.orderBy("x", "doc_id", "own", "at").withColumn("uid", F.monotonically_increasing_id()))
-    prefixes = shared_prefixes(sequences.select("uid", "a", "b", "w")).groupBy("uid").agg(F.collect_list(F.struct("p", "best")).alias("found"))
+    prefixes = shared_prefixes(sequences.select("uid", "a", "b", "r")).groupBy("uid").agg(F.collect_list(F.struct("p", "best")).alias("found"))
     gone = prefixes.join(sequences.select("uid", "own", "at", "w"), "uid").select("own", "at", "w", "found").mapInPandas(deleted, "own binary, start int, end int")
     gone = gone.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     each = slim.select("doc_id", "own", F.size("w").alias("n_lines"), F.aggregate("w", F.lit(0), lambda s, x: s + x).alias("n_words")).distinct()

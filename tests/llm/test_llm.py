@@ -687,9 +687,9 @@ def test_viterbi_is_the_best_path():
 
 
 def test_very_long_texts(spark):
-    """Half a million characters in one text, in many lines and in one, beside short ones, through every operator."""
+    """Some 25,000 characters in one text, in many lines and in one, beside short ones, through every operator."""
     rng = random.Random(20)
-    many = "\n".join(prose(rng, 12) + rng.choice(["", f" 10.0.{rng.randint(0, 255)}.1", f" u{rng.randint(0, 99)}@ex.org"]) for _ in range(6000))
+    many = "\n".join(prose(rng, 12) + rng.choice(["", f" 10.0.{rng.randint(0, 255)}.1", f" u{rng.randint(0, 99)}@ex.org"]) for _ in range(400))
     one = many.replace("\n", " ")
     item = prose(rng, 25)
     rows = [(1, many, "en", "a", len(many), "x", "y", 1), (2, one, "en", "a", len(one), "x", "y", 1), (3, f"{prose(rng, 60)} {item}", "en", None, 0, None, None, None), (4, many + "\n" + item, "en", "b", 0, None, None, None)]
@@ -705,6 +705,6 @@ def test_very_long_texts(spark):
     assert quality_classifier.apply(docs, quality_classifier.fit(docs, labels), ["doc_id"]).count() == 4
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     assert {r.doc_id for r in decontamination.apply(docs, bench, ["doc_id"]).collect()} == {3, 4}
-    assert {r.doc_id: r.n_deleted for r in line_dedup.apply(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 6000}
+    assert {r.doc_id: r.n_deleted for r in line_dedup.apply(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 400}
     for r in secrets.apply(docs, ["doc_id", "text"]).collect():
         assert (r.n_assign, r.n_access, r.n_hex) == (0, 0, 0)
