@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 import sys
 import time
 from pathlib import Path
@@ -24,7 +25,8 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--log-level", default="warning")
     top.add_argument("--log-file")
     top.add_argument("--log-format", choices=("ansi", "jsonl"), default="ansi")
-    top.add_argument("--threads", type=int, default=1)
+    top.add_argument("--threads", type=int, default=1, help="threads of a local run")
+    top.add_argument("--master", help="a cluster's master; spark-submit's own where this and --threads are not given")
     commands = top.add_subparsers(dest="command", required=True)
     build = commands.add_parser("build-db")
     build.add_argument("tree")
@@ -78,7 +80,7 @@ def logged(args: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logged(args)
-    spark = SparkSession.builder.master(f"local[{args.threads}]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(args.master or os.environ.get("MASTER") or f"local[{args.threads}]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     began = time.time()
     if args.command == "build-db":
         model_store.save(api.map_kmers_to_tree(spark, args.tree, args.msa, args.kmer_size, args.minimizer_size, args.min_branch_support), args.output)
@@ -100,7 +102,8 @@ def main(argv: list[str] | None = None) -> int:
         Path(args.output).write_text(text) if args.output else print(text)
     elif args.what == "kmers":
         one = spark.createDataFrame([(args.sequence,)], "seq string")
-        for r in S.explode_kmers(one.withColumn("seq", S.sanitize(one.seq)), args.kmer_size).toLocalIterator():
+        packed = S.explode_kmers(one.withColumn("seq", S.sanitize(one.seq)), args.kmer_size)
+        for r in packed.select(S.unpacked(packed.kmer, args.kmer_size).alias("kmer")).toLocalIterator():
             print(r.kmer)
     else:
         model_store.export(load(spark, args.database), args.output, args.format, args.only_tree)

@@ -1,6 +1,6 @@
 """The k-mer index: which inner clades hold each k-mer of the reference sequences.
 
-kmer_index(minimizer, kmer, clades array<struct<node_id, exclusive, first>>) has one row per k-mer.
+kmer_index(minimizer, kmer, clades array<struct<node_id, exclusive, first>>) has one row per k-mer (packed).
 The root holds every k-mer and leaves are never placed on, so neither is listed; a k-mer whose
 leaves hang from the root has an empty array. exclusive: no sibling of the clade holds the k-mer.
 first: the clade is the least of its siblings that hold it. Both serve the leave-one-out counts, so
@@ -50,15 +50,17 @@ def build(records: DataFrame, nodes: DataFrame, k: int = 35, m: int = 4, pairing
     # a parent's clades and their parents, once per inner node; the tree is small beside the k-mers
     up = above.join(inner.select(F.col("node_id").alias("anc_id"), F.col("parent_id").alias("above_id")), "anc_id")
     up = up.groupBy(F.col("node_id").alias("parent_id")).agg(F.collect_list(F.struct(F.col("above_id").alias("p"), F.col("anc_id").alias("n"))).alias("path"))
-    rows = parents.join(up, "parent_id", "left")
-    grouped = rows.groupBy("kmer").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("path")))).alias("c"))
+    # (k-mer, clade) pairs meet before a k-mer's clades are listed: a list has each clade once
+    rows = parents.join(up, "parent_id", "left").select("kmer", F.explode_outer("path").alias("x")).repartition("kmer").distinct()
+    grouped = rows.groupBy("kmer").agg(F.sort_array(F.collect_list("x")).alias("c"))
 
     def clade(x, i):
-        alone = F.size(F.filter("c", lambda y: y["p"] == x["p"])) == 1
-        first = (i == 0) | (F.get("c", i - 1)["p"] != x["p"])
-        return F.struct(x["n"].alias("node_id"), alone.alias("exclusive"), first.alias("first"))
+        # sorted by parent: siblings are neighbours
+        first = F.coalesce(F.get("c", i - 1)["p"] != x["p"], F.lit(True))
+        last = F.coalesce(F.get("c", i + 1)["p"] != x["p"], F.lit(True))
+        return F.struct(x["n"].alias("node_id"), (first & last).alias("exclusive"), first.alias("first"))
 
-    return grouped.select(S.minimizer(F.col("kmer"), m).alias("minimizer"), "kmer", F.transform("c", clade).cast(CLADES).alias("clades"))
+    return grouped.select(S.bucket(F.col("kmer"), k, m).alias("minimizer"), "kmer", F.transform("c", clade).cast(CLADES).alias("clades"))
 
 
 def kmer_nodes(index: DataFrame, root_id: int = 0) -> DataFrame:

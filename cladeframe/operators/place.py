@@ -13,36 +13,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import murmur
 from ..functions import seq as S
 from ..functions import status as X
 
 
-def query_kmers(queries: DataFrame, k: int, m: int) -> DataFrame:
-    """Distinct (query, minimizer, kmer) of both strands."""
-    return S.explode_kmers(queries.select("query", "seq"), k).distinct().withColumn("minimizer", S.minimizer(F.col("kmer"), m))
+def query_kmers(queries: DataFrame, k: int, hashed: bool = False) -> DataFrame:
+    """Distinct (query, kmer) of both strands; packed, or hashed as in an exchanged model."""
+    slim = queries.select("query", "seq")
+    return (murmur.explode_hashes(slim, k) if hashed else S.explode_kmers(slim, k)).distinct()
 
 
-def hits(queries: DataFrame, index: DataFrame, k: int, m: int) -> DataFrame:
+def hits(queries: DataFrame, index: DataFrame, k: int, hashed: bool = False) -> DataFrame:
     """(query, kmer, clades): the query's k-mers that the index holds. Catalyst broadcasts the smaller side if its size allows."""
-    return query_kmers(queries, k, m).join(index, ["minimizer", "kmer"]).select("query", "kmer", "clades")
+    return query_kmers(queries, k, hashed).join(index, "kmer").select("query", "kmer", "clades")
 
 
-def matched(found: DataFrame) -> DataFrame:
+def tallies(found: DataFrame) -> DataFrame:
+    """(query, node_id, one, exclusive, firsts) of each clade that a query touches; a null node_id stands for
+    the root, which holds all matched k-mers. The one aggregate over the hits."""
+    root = F.array(F.struct(F.lit(None).cast("long").alias("node_id"), F.lit(False).alias("exclusive"), F.lit(False).alias("first")))
+    each = found.select("query", F.explode(F.concat(root, "clades")).alias("c")).select("query", "c.*")
+    return each.groupBy("query", "node_id").agg(F.count("*").alias("one"), F.count_if("exclusive").alias("exclusive"), F.count_if("first").alias("firsts"))
+
+
+def matched(tally: DataFrame) -> DataFrame:
     """Matched k-mers per query; the root holds all of them."""
-    return found.groupBy("query").agg(F.count("*").alias("matched"))
+    return tally.where("node_id is null").select("query", F.col("one").alias("matched"))
 
 
-def clade_counts(found: DataFrame, inner: DataFrame) -> DataFrame:
+def clade_counts(tally: DataFrame, inner: DataFrame) -> DataFrame:
     """(query, parent_id, node_id, one, exclusive, total): total is the union over the node's siblings and itself."""
-    each = found.select("query", F.explode("clades").alias("c")).select("query", "c.*")
-    sums = each.groupBy("query", "node_id").agg(F.count("*").alias("one"), F.count_if("exclusive").alias("exclusive"), F.count_if("first").alias("firsts"))
-    placed = sums.join(inner.select("node_id", "parent_id", "depth", "has_inner_child"), "node_id")
+    placed = tally.join(inner.select("node_id", "parent_id", "depth", "has_inner_child"), "node_id")
     return placed.withColumn("total", F.sum("firsts").over(Window.partitionBy("query", "parent_id"))).drop("firsts")
 
 
-def adherence(found: DataFrame, inner: DataFrame, remove_intersection: bool = False) -> DataFrame:
+def adherence(tally: DataFrame, inner: DataFrame, remove_intersection: bool = False) -> DataFrame:
     """(query, parent_id, node_id, depth, has_inner_child, one, rest, win) of each clade that a query touches."""
-    c = clade_counts(found, inner)
+    c = clade_counts(tally, inner)
     rest = F.col("total") - F.col("exclusive")
     win = F.col("one") > rest
     if remove_intersection:
@@ -61,20 +69,20 @@ def chain(winners: DataFrame, root_id: int) -> DataFrame:
 
 
 def place(
-    queries: DataFrame, index: DataFrame, inner: DataFrame, k: int = 35, m: int = 4, max_iterations: int = 1000, min_coverage: float = 0.7,
-    remove_intersection: bool = False, coverage_base: str = "matched", root_id: int = 0, root_has_children: bool = True,
+    queries: DataFrame, index: DataFrame, inner: DataFrame, k: int = 35, max_iterations: int = 1000, min_coverage: float = 0.7,
+    remove_intersection: bool = False, coverage_base: str = "matched", root_id: int = 0, root_has_children: bool = True, hashed: bool = False,
 ) -> DataFrame:
     """(query, status, message, clade_id, one, rest, iterations) of every query (query, seq).
 
     coverage_base: "matched" compares with the matched k-mers, which always pass; "query" compares
-    with all k-mers of the query.
+    with all k-mers of the query. hashed: the index knows k-mers by their hash.
     """
-    found = hits(queries, index, k, m)
-    counts = matched(found)
-    ends = chain(adherence(found, inner, remove_intersection).where("win"), root_id)
+    tally = tallies(hits(queries, index, k, hashed))
+    counts = matched(tally)
+    ends = chain(adherence(tally, inner, remove_intersection).where("win"), root_id)
     rows = queries.select("query", F.length("seq").alias("size")).join(counts, "query", "left").join(ends, "query", "left")
     if coverage_base == "query":
-        rows = rows.join(query_kmers(queries, k, m).groupBy("query").agg(F.count("*").alias("all")), "query", "left")
+        rows = rows.join(query_kmers(queries, k, hashed).groupBy("query").agg(F.count("*").alias("all")), "query", "left")
         expected = X.expected_coverage(F.col("all"), min_coverage)
     else:
         expected = X.expected_coverage(F.col("matched"), min_coverage)

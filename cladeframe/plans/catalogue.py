@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import murmur
 from ..functions import seq as S
 from ..functions import status as X
 from ..operators import annotate, describe, export
 from ..operators import index as I
 from ..operators import place as P
 from ..operators import tree as T
-from ..runtime import checkpoint, shared_dir
+from ..runtime import checkpoint, numbered, shared_dir
 from ..sources import fasta, model_store, newick
+from ..sources import yaml_io as Y
 from ..streaming import watcher
 from . import lens as L
 
@@ -30,35 +34,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: The trees of a session by folder: tree metadata is small, written once to the shared folder, and serves all queries.
-TREES: dict[tuple[str, str], tuple[DataFrame, tuple[DataFrame, DataFrame]]] = {}
-
-
 def tree(spark: SparkSession, d: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """The collapsed tree, and its inner nodes with their closure."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in TREES:
-        nodes = checkpoint(T.collapse(L.nodes(spark, d), L.MIN_SUPPORT))
-        inner, above = T.inner_nodes(nodes)
-        TREES[key] = nodes, (checkpoint(inner), checkpoint(above))
-    return TREES[key]
+    """The collapsed tree, and its inner nodes with their closure, made for each query."""
+    nodes = checkpoint(T.collapse(L.nodes(spark, d), L.MIN_SUPPORT))
+    inner, above = T.inner_nodes(nodes)
+    return nodes, (checkpoint(inner), checkpoint(above))
 
 
 def collapsed(spark: SparkSession, d: str) -> DataFrame:
     return T.collapse(L.nodes(spark, d), L.MIN_SUPPORT)
 
 
-def index(spark: SparkSession, d: str, pairing: str = "aligned", m: int = M) -> DataFrame:
-    nodes, parts = tree(spark, d)
-    return I.build(L.records(spark, d), nodes, K, m, pairing, inner_parts=parts)
+def index(spark: SparkSession, d: str, pairing: str = "aligned", m: int = M, parts: tuple | None = None) -> DataFrame:
+    nodes, inner_parts = parts or tree(spark, d)
+    return I.build(L.records(spark, d), nodes, K, m, pairing, inner_parts=inner_parts)
 
 
 def found(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return P.hits(L.queries(spark, d), index(spark, d), K, M), tree(spark, d)[1][0]
+    parts = tree(spark, d)
+    return P.tallies(P.hits(L.queries(spark, d), index(spark, d, parts=parts), K)), parts[1][0]
+
+
+def placed(spark: SparkSession, d: str, parts: tuple | None = None, **options) -> DataFrame:
+    parts = parts or tree(spark, d)
+    return P.place(L.queries(spark, d), index(spark, d, parts=parts), parts[1][0], K, **options)
+
 
+def in_text(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("kmer", S.unpacked(F.col("kmer"), K))
 
-def placed(spark: SparkSession, d: str, **options) -> DataFrame:
-    return P.place(L.queries(spark, d), index(spark, d), tree(spark, d)[1][0], K, M, **options)
+
+def bucket_text(m: int = M):
+    return S.bucket_text(F.col("minimizer"), K, m).alias("minimizer")
 
 
 def seq_sanitize(spark: SparkSession, d: str) -> DataFrame:
@@ -70,19 +77,19 @@ def seq_revcomp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seq_kmers_forward(spark: SparkSession, d: str) -> DataFrame:
-    return S.explode_kmers(L.records(spark, d).select("seq"), K, both=False).groupBy("kmer").agg(F.count("*").alias("n"))
+    return in_text(S.explode_kmers(L.records(spark, d).select("seq"), K, both=False).groupBy("kmer").agg(F.count("*").alias("n")))
 
 
 def seq_kmers_both(spark: SparkSession, d: str) -> DataFrame:
-    return S.explode_kmers(L.records(spark, d).select("seq"), K).groupBy("kmer").agg(F.count("*").alias("n"))
+    return in_text(S.explode_kmers(L.records(spark, d).select("seq"), K).groupBy("kmer").agg(F.count("*").alias("n")))
 
 
 def kmer_minimizer_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return I.bucket_sizes(index(spark, d))
+    return I.bucket_sizes(index(spark, d)).select(bucket_text(), "n_kmers")
 
 
 def kmer_minimizer_zero(spark: SparkSession, d: str) -> DataFrame:
-    return I.bucket_sizes(index(spark, d, m=0))
+    return I.bucket_sizes(index(spark, d, m=0)).select(bucket_text(0), "n_kmers")
 
 
 def query_too_short(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +200,9 @@ def place_unclassifiable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def annotated(spark: SparkSession, d: str) -> DataFrame:
-    paths = T.path_to_root(tree(spark, d)[0].where(F.col("kind") != T.LEAF))
-    return annotate.annotate(placed(spark, d), L.annotations(spark, d), paths)
+    parts = tree(spark, d)
+    paths = T.path_to_root(parts[0].where(F.col("kind") != T.LEAF))
+    return annotate.annotate(placed(spark, d, parts), L.annotations(spark, d), paths)
 
 
 def place_annotated(spark: SparkSession, d: str) -> DataFrame:
@@ -253,8 +261,9 @@ def stream_jobs(spark: SparkSession, d: str) -> DataFrame:
 
 def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     at = scratch(spark, "model")
-    model_store.save(model_store.Model("lens", "lens", L.MIN_SUPPORT, K, M, collapsed(spark, d), index(spark, d), L.annotations(spark, d)), at)
-    return I.kmer_nodes(model_store.load(spark, at).index).groupBy("minimizer").agg(F.count("*").alias("n_rows"), F.countDistinct("kmer").alias("n_kmers"))
+    parts = tree(spark, d)
+    model_store.save(model_store.Model("lens", "lens", L.MIN_SUPPORT, K, M, parts[0], index(spark, d, parts=parts), L.annotations(spark, d)), at)
+    return I.kmer_nodes(model_store.load(spark, at).index).groupBy("minimizer").agg(F.count("*").alias("n_rows"), F.countDistinct("kmer").alias("n_kmers")).withColumn("minimizer", bucket_text())
 
 
 def newick_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -266,11 +275,57 @@ def newick_parse(spark: SparkSession, d: str) -> DataFrame:
     return nodes.where(F.col("kind") == T.LEAF).join(up, "parent_id").join(size, "parent_id").select("name", "parent_support", "siblings")
 
 
+def fasta_text(spark: SparkSession, d: str) -> DataFrame:
+    return L.records(spark, d).select(S.to_fasta(F.col("header"), F.col("seq")).alias("entry"))
+
+
+def record_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(L.records(spark, d).select("header"), "header").select("header", F.col("rec_no").cast("long").alias("rec_no"))
+
+
+def coverage_clamp(spark: SparkSession, d: str) -> DataFrame:
+    """Expected coverage of counts below, inside and above the range of the parameter."""
+    size = F.col("p_size").cast("long")
+    return L.table(spark, d, "part").select("p_partkey", *[X.expected_coverage(size, c).alias(n) for n, c in (("below", -0.5), ("inside", 0.7), ("above", 1.7))])
+
+
+def annotation_load(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations written as a YAML file with tags and read again; one per inner clade, so the driver holds them."""
+    with tempfile.TemporaryDirectory() as folder:
+        at = Path(folder, "annotations.yaml")
+        at.write_text(Y.dump([{"clade": r.clade, "meta": Y.tagged(r.meta)} for r in L.annotations(spark, d).collect()]))
+        return Y.read_annotations(spark, str(at)).select("clade", F.explode("meta").alias("m")).select("clade", "m.tag", "m.value")
+
+
+def tree_yaml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The tree of places written as nested YAML and read again."""
+    with tempfile.TemporaryDirectory() as folder:
+        at = Path(folder, "tree.yaml")
+        at.write_text(Y.tree_text([r.asDict() for r in L.geography(spark, d).collect()]))
+        rows = Y.read_tree(str(at))
+    return spark.createDataFrame([tuple(r.values()) for r in rows], T.NODES).select("node_id", "parent_id", "kind", "name", "support")
+
+
+def place_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """Query and code of the documents of a YAML result file."""
+    with tempfile.TemporaryDirectory() as folder:
+        at = export.write_file(placed(spark, d), str(Path(folder, "out", "result")), "yaml")
+        docs = [Y.load(x) for x in at.read_text().split("---\n")[1:]]
+    return spark.createDataFrame([(x["query"], x["code"]) for x in docs], "query string, code string")
+
+
+def kmer_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of an exchanged model for the k-mers of the queries."""
+    kmers = P.query_kmers(L.queries(spark, d), K).select(S.unpacked(F.col("kmer"), K).alias("kmer")).distinct()
+    return kmers.select("kmer", murmur.hash_column(F.col("kmer")).alias("hash"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "seq_sanitize seq_revcomp seq_kmers_forward seq_kmers_both kmer_minimizer_buckets kmer_minimizer_zero query_too_short tree_nodes tree_collapse tree_collapse_geography tree_closure "
         "tree_path_to_root tree_leaf_paths tree_kind_counts tree_children_inner header_leaf_join header_leaf_missing index_build index_build_shifted describe_db overlap_counts root_coverage "
         "node_hits one_vs_rest one_vs_rest_no_intersection level_winners place_sequences place_remove_intersection place_query_coverage place_max_iterations place_status_summary "
-        "place_unclassifiable place_annotated place_json place_errors jobs_pending jobs_model_lookup runtime_stats fasta_roundtrip stream_jobs model_roundtrip newick_parse"
+        "place_unclassifiable place_annotated place_json place_errors jobs_pending jobs_model_lookup runtime_stats fasta_roundtrip stream_jobs model_roundtrip newick_parse "
+        "fasta_text record_numbers coverage_clamp annotation_load tree_yaml_roundtrip place_yaml kmer_hashes"
     )
     return {n: globals()[n] for n in names.split()}

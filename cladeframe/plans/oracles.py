@@ -130,4 +130,10 @@ def oracle_sql() -> dict[str, str]:
         "stream_jobs": f"""select event_id // 3 job, ['pending', 'running', 'error', 'success'][1 + max(case {marker()} when 'success' then 3 when 'error' then 2 when 'running' then 1 else 0 end)] state from events group by 1""",
         "model_roundtrip": sql(f"select {BUCKET} minimizer, count(*) n_rows, count(distinct kmer) n_kmers from ix group by 1", "ix"),
         "newick_parse": sql("select g.name, p.support parent_support, count(*) over (partition by g.parent_id) siblings from geo g join geo p on p.node_id = g.parent_id where g.kind = 'LEAF'", "geo"),
+        "fasta_text": sql("select '>' || header || chr(10) || seq || chr(10) entry from rec", "rec"),
+        "record_numbers": sql("select header, row_number() over (order by header) - 1 rec_no from rec", "rec"),
+        "coverage_clamp": "select p_partkey, 0::bigint below, round(p_size * 0.7::double)::bigint inside, p_size::bigint above from part",
+        "annotation_load": sql("select id clade, 'SciName' tag, lang value from lng union all select id, 'Rank', source from src", "src"),
+        "tree_yaml_roundtrip": sql("select node_id, parent_id, kind, name, support from geo", "geo"),
+        "place_yaml": sql(f"select query, {code} code from ({p}) where status <> 'Error'"),
     }

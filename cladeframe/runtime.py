@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="cladeframe-"))
+    found = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="cladeframe-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found

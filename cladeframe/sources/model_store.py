@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import murmur
+from ..functions import seq as S
 from ..operators import index as I
 from ..operators import tree as T
 from . import yaml_io as Y
 
-MODEL = "id string, name string, min_branch_support double, k int, m int"
+MODEL = "id string, name string, min_branch_support double, k int, m int, hashed boolean"
 
 
 @dataclass
@@ -27,13 +28,15 @@ class Model:
     nodes: DataFrame
     index: DataFrame
     annotations: DataFrame | None = None
+    #: whether k-mers and minimizers are the hashes of an exchanged model instead of packed bases
+    hashed: bool = False
 
 
 def save(model: Model, path: str, mode: str = "errorifexists") -> None:
     """Writes path/{model,nodes,kmers,annotations}; k-mers are sorted by bucket and k-mer inside each
     file, so row groups hold a narrow range of both and a lookup reads few of them."""
     spark = model.nodes.sparkSession
-    spark.createDataFrame([(model.id, model.name, float(model.min_branch_support), model.k, model.m)], MODEL).write.mode(mode).parquet(f"{path}/model")
+    spark.createDataFrame([(model.id, model.name, float(model.min_branch_support), model.k, model.m, model.hashed)], MODEL).write.mode(mode).parquet(f"{path}/model")
     model.nodes.write.mode(mode).parquet(f"{path}/nodes")
     model.index.repartitionByRange("minimizer", "kmer").sortWithinPartitions("minimizer", "kmer").write.mode(mode).option("compression", "zstd").parquet(f"{path}/kmers")
     if model.annotations is not None:
@@ -47,12 +50,12 @@ def load(spark: SparkSession, path: str) -> Model:
         notes.schema  # noqa: B018  fails here if there are none
     except Exception:  # noqa: BLE001  any reader's way to say that the folder is missing
         notes = None
-    return Model(r.id, r.name, r.min_branch_support, r.k, r.m, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/kmers"), notes)
+    return Model(r.id, r.name, r.min_branch_support, r.k, r.m, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/kmers"), notes, bool(r.hashed))
 
 
 def real_bytes(model: Model) -> DataFrame:
     """Bytes of the index's k-mers and clade numbers, as one row."""
-    return model.index.agg(F.sum(F.octet_length("kmer") + 8 * F.size("clades")).alias("index_bytes"))
+    return model.index.agg(F.sum(8 * -(-model.k // S.WORD) + 8 * F.size("clades")).alias("index_bytes"))
 
 
 def exported(model: Model, only_tree: bool = False) -> dict:
@@ -64,9 +67,13 @@ def exported(model: Model, only_tree: bool = False) -> dict:
     if model.annotations is not None:
         out["annotations"] = [{"clade": r.clade, "meta": Y.tagged(r.meta)} for r in model.annotations.orderBy("clade").collect()]
     buckets: dict[int, dict[int, list[int]]] = {}
-    for r in model.index.select("minimizer", "kmer", F.transform("clades", lambda c: c["node_id"]).alias("n")).toLocalIterator():
-        key = murmur.hash64(r.minimizer) if model.m else 0
-        buckets.setdefault(key, {})[murmur.hash64(r.kmer)] = [root["id"], *r.n]
+    if model.hashed:
+        bucket, kmer = F.col("minimizer"), F.col("kmer")
+    else:
+        text = S.unpacked(F.col("kmer"), model.k)
+        bucket, kmer = murmur.hash_column(S.minimizer(text, model.m)) if model.m else F.lit(0).cast("long"), murmur.hash_column(text)
+    for r in model.index.select(bucket.alias("b"), kmer.alias("h"), F.transform("clades", lambda c: c["node_id"]).alias("n")).toLocalIterator():
+        buckets.setdefault(r.b % (1 << 64), {})[r.h % (1 << 64)] = [root["id"], *r.n]
     out["kmersMap"] = {"kSize": model.k, "mSize": model.m, "map": buckets}
     return out
 
@@ -100,8 +107,8 @@ def read_exchange(path: str) -> dict:
 
 
 def imported(spark: SparkSession, path: str) -> Model:
-    """A model of an exchange file. Its k-mers are known by hash only: kmer and minimizer are the
-    hashes as text, so such a model is for description and conversion, not for placing sequences."""
+    """A model of an exchange file. Its k-mers are known by hash only: kmer and minimizer are the hashes
+    as signed longs, and queries placed with it are hashed in the same way."""
     found = read_exchange(path)
     if "kmersMap" not in found:
         raise ValueError("the model has no k-mers")
@@ -113,7 +120,11 @@ def imported(spark: SparkSession, path: str) -> Model:
         own = sorted((inner[i], i) for i in ids if i in inner)
         return [(n, sum(q == p for q, _ in own) == 1, k == 0 or own[k - 1][0] != p) for k, (p, n) in enumerate(own)]
 
-    kmers = [(str(b), str(h), clades(ids)) for b, m in found["kmersMap"]["map"].items() for h, ids in m.items()]
-    index = spark.createDataFrame(kmers, f"minimizer string, kmer string, clades {I.CLADES}")
+    def signed(key: int | str) -> int:  # JSON has texts for keys
+        h = int(key)
+        return h - (1 << 64) if h >= 1 << 63 else h
+
+    kmers = [(signed(b), signed(h), clades(ids)) for b, m in found["kmersMap"]["map"].items() for h, ids in m.items()]
+    index = spark.createDataFrame(kmers, f"minimizer long, kmer long, clades {I.CLADES}")
     notes = Y.annotations(spark, found["annotations"]) if found.get("annotations") else None
-    return Model(str(found["id"]), found["name"], float(found["minBranchSupport"]), found["kmersMap"]["kSize"], found["kmersMap"]["mSize"], nodes, index, notes)
+    return Model(str(found["id"]), found["name"], float(found["minBranchSupport"]), found["kmersMap"]["kSize"], found["kmersMap"]["mSize"], nodes, index, notes, True)

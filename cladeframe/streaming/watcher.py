@@ -55,7 +55,7 @@ def place_file(spark: SparkSession, path: str, model: model_store.Model, notes:
     """Placements, annotated if there are annotations, of the records of a FASTA file."""
     queries = fasta.read(spark, path, ordered=False).withColumnRenamed("header", "query")
     inner, _ = T.inner_nodes(model.nodes)
-    out = place.place(queries, model.index, inner, model.k, model.m, **options)
+    out = place.place(queries, model.index, inner, model.k, hashed=model.hashed, **options)
     return out if notes is None else annotate.annotate(out, notes, T.path_to_root(model.nodes))
 
 
@@ -67,7 +67,11 @@ def handle(spark: SparkSession, folder: Path, service: Y.Service) -> str:
         return "taken"
     try:
         job = Y.Job.read(str(folder / names.config_file_name))
-        marks["running"].write_text(Y.dump({"msg": f"Processing the query file {job.query_file_id} with model {job.model_id}"}))
+        try:  # made by one worker only: whoever comes second finds the job taken
+            with marks["running"].open("x") as claim:
+                claim.write(Y.dump({"msg": f"Processing the query file {job.query_file_id} with model {job.model_id}"}))
+        except FileExistsError:
+            return "taken"
         out = run_job(spark, job, folder, service)
         marks["success"].write_text(Y.dump({"msg": f"Results are in {out.name}"}))
         return "success"

@@ -23,10 +23,26 @@ def test_sanitize_and_strands(spark):
 def test_exploded_kmers_of_long_sequences(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("ACGT") for _ in range(3 * S.CHUNK + 7))
-    got = sorted(r.kmer for r in S.explode_kmers(spark.createDataFrame([(text,)], "seq string"), 9, both=False).collect())
-    assert got == sorted(text[i : i + 9] for i in range(len(text) - 8))
-    both = S.explode_kmers(spark.createDataFrame([(text,)], "seq string"), 9).count()
-    assert both == 2 * len(got)
+    df = spark.createDataFrame([(text,)], "seq string")
+    other = text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    for k in (1, 9, 31, 32, 35, 62, 70):
+        packed = S.explode_kmers(df, k)
+        rows = packed.select(S.unpacked(packed.kmer, k).alias("t"), S.bucket(packed.kmer, k, 1).alias("b"), "kmer").collect()
+        assert sorted(r.t for r in rows) == sorted(s[i : i + k] for s in (text, other) for i in range(len(s) - k + 1)), k
+        assert {(r.t[0], r.b) for r in rows} == ({(c, n) for n, c in enumerate("ACGT")} if k <= 62 else {(c, c) for c in "ACGT"})
+        assert [r.t for r in sorted(rows, key=lambda r: r.kmer)] == sorted(r.t for r in rows)
+    assert S.explode_kmers(df, 9, both=False).count() == len(text) - 8
+
+
+def test_vectorised_hashes_equal_plain_ones(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("ACGT") for _ in range(900))
+    for k in (4, 12, 16, 31, 35, 48):
+        got = murmur.window_hashes(text, k).tolist()
+        assert got == [murmur.hash64(text[i : i + k]) for i in range(len(text) - k + 1)]
+    words = ["", "hello", "ACGT" * 9, None, "hello"]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select(murmur.hash_column(F.col("w")).alias("h")).collect()
+    assert [None if r.h is None else r.h % 2**64 for r in found] == [None if w is None else murmur.hash64(w) for w in words]
 
 
 def test_murmur_known_values():

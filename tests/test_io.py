@@ -57,11 +57,23 @@ def test_place_write_and_describe(spark, model, tmp_path):
 
 
 def test_exchange_round_trip(spark, model, tmp_path):
-    made, _, _ = model
+    made, seqs, _ = model
+    (tmp_path / "q.fasta").write_text(f">q1\n{seqs['a']}\n>q2\n{seqs['c'][:50]}\n>none\n{'AC' * 20}\n")
+
+    def rows(m):
+        return sorted((r.query, r.status, r.clade_id, r.one, r.rest) for r in api.place_sequences(spark, str(tmp_path / "q.fasta"), m).collect())
+
     for form in ("zstd", "yaml", "json"):
         model_store.export(made, str(tmp_path / "m.cls"), form)
         back = model_store.imported(spark, str(tmp_path / "m.cls"))
         assert back.k == 15 and back.index.count() == made.index.count() and back.nodes.count() == made.nodes.count()
+    # an imported model knows hashes only, and queries placed with it are hashed
+    assert rows(back) == rows(made) and rows(back)[1][1] == "IdentityFound"
+    model_store.save(back, str(tmp_path / "again"))
+    assert rows(model_store.load(spark, str(tmp_path / "again"))) == rows(made)
+    model_store.export(back, str(tmp_path / "n.yaml"), "yaml")
+    model_store.export(made, str(tmp_path / "o.yaml"), "yaml")
+    assert model_store.read_exchange(str(tmp_path / "n.yaml"))["kmersMap"] == model_store.read_exchange(str(tmp_path / "o.yaml"))["kmersMap"]
     (tmp_path / "bad").write_text("a: [")
     with pytest.raises(ValueError):
         model_store.read_exchange(str(tmp_path / "bad"))
