@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..operators import tree as T
+from ..runtime import spread
 
 K, M, MIN_SUPPORT = 12, 4, 70.0
 
@@ -17,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_no, header, seq) of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("rec_no"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("header"), S.sanitize(F.coalesce("text", F.lit(""))).alias("seq"))
 
 

@@ -38,3 +38,12 @@ def numbered(df: DataFrame, *order: str, name: str = "rec_no") -> DataFrame:
     before = counts.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
     rows = placed.withColumn("__part", part).join(F.broadcast(before), "__part")  # a row for each partition
     return rows.withColumn(name, F.col("__before") + (F.col("__at") - F.shiftleft("__part", 33))).drop("__at", "__part", "__before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than two for each core, dealt anew over four; a larger one stays as it is.
+
+    For rows that become thousands each: a file of one row group would be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
