@@ -279,7 +279,8 @@ def matcher(index: Index):
         rows = matches(index, texts.tolist())
         return pd.Series([[{"item_id": index.ids[i], "start": s, "end": e, "edits": n} for i, s, e, n in x] for x in rows])
 
-    return one
+    # the optimizer would run a deterministic one twice: once to leave out texts without matches before they are exploded
+    return one.asNondeterministic()
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Column:
