@@ -37,6 +37,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,24 +100,45 @@ def mixed(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The length of each list of a column, and the values of all lists behind each other."""
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
+
+
+def members(values: pa.Array) -> list[np.ndarray]:
+    return [x.to_numpy(zero_copy_only=False) for x in values.flatten()]
+
+
+def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of neighbouring repeated lines with MIN_WORDS words or more; rows: a text's repeated lines in order.
 
     doc_id travels as text, so that numbers with nulls beside them stay exact."""
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            i = np.array([x["i"] for x in r.lines], np.int64)
-            h, g = np.array([x["h"] for x in r.lines], np.int64), np.array([x["g"] for x in r.lines], np.int64)
-            w = np.array([x["w"] for x in r.lines], np.int64)
-            for part in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i) != 1) + 1):
-                if w[part].sum() >= MIN_WORDS:
-                    out.append((r.x, r.doc_id, r.own, int(i[part[0]]), w[part].astype(np.int32), np.cumsum(w[part][::-1])[::-1].astype(np.int32), h[part], g[part]))
-        yield pd.DataFrame(out, columns=["x", "doc_id", "own", "at", "w", "r", "a", "b"])
+        sizes, lines = flat(batch["lines"])
+        if not len(lines):
+            continue
+        i, h, g, w = members(lines)
+        row, w = np.repeat(np.arange(len(sizes)), sizes), w.astype(np.int64)
+        start = np.concatenate([[0], np.flatnonzero((np.diff(i) != 1) | (np.diff(row) != 0)) + 1])
+        length, total = np.diff(np.append(start, len(i))), np.add.reduceat(w, start)
+        before = np.cumsum(w) - w
+        left = np.repeat(total + before[start], length) - before
+        keep = total >= MIN_WORDS
+        inside = np.repeat(keep, length)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(length[keep])]), pa.int32())
+
+        def lists(values: np.ndarray, kind: pa.DataType, inside: np.ndarray = inside, offsets: pa.Array = offsets) -> pa.Array:
+            return pa.ListArray.from_arrays(offsets, pa.array(values[inside], kind))
+
+        of = pa.array(row[start[keep]])
+        columns = [*(batch[c].take(of) for c in ("x", "doc_id", "own")), pa.array(i[start[keep]], pa.int32()), lists(w, pa.int32()), lists(left, pa.int32()), lists(h, pa.int64()), lists(g, pa.int64())]
+        yield pa.record_batch(columns, ["x", "doc_id", "own", "at", "w", "r", "a", "b"])
 
 
 def names(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the runs of 2 ** level lines at each line at which one fits, by prefix doubling."""
+    """Names of the runs of 2 ** level lines at each line at which one fits, by prefix doubling.
+
+    The sequences of a batch stand behind each other; a name that goes over an end is one that nobody asks for."""
     a, b, size = a.view(np.uint64), b.view(np.uint64), 1
     for _ in range(level):
         if len(a) <= size:
@@ -125,23 +148,22 @@ def names(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndar
 
 
 def candidates(level: int):
-    """For mapInPandas: rows (uid, a, b, states) to the states with the interval (k1, k2) that their next 2 ** level lines lead to, if so many are left."""
+    """For mapInArrow: rows (uid, a, b, states) to the states with the interval (k1, k2) that their next 2 ** level lines lead to, if so many are left."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for r in batch.itertuples(index=False):
-                na, nb = names(np.asarray(r.a, np.int64), np.asarray(r.b, np.int64), level)
-                p, cur, c1, c2, best = (np.array([s[f] for s in r.states], np.int64) for f in ("p", "cur", "c1", "c2", "best"))
-                at = p + cur
-                fits = at < len(na)
-                k1, k2 = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-                if fits.any():
-                    k1[fits] = mixed(c1[fits].view(np.uint64), na[at[fits]], 5 + level).view(np.int64)
-                    k2[fits] = mixed(c2[fits].view(np.uint64), nb[at[fits]], 105 + level).view(np.int64)
-                parts.append(pd.DataFrame({"uid": r.uid, "p": p, "cur": cur, "c1": c1, "c2": c2, "best": best, "fits": fits, "k1": k1, "k2": k2}))
-            if parts:
-                yield pd.concat(parts)
+            sizes, a = flat(batch["a"])
+            counts, states = flat(batch["states"])
+            na, nb = names(a.to_numpy(zero_copy_only=False), batch["b"].flatten().to_numpy(zero_copy_only=False), level)
+            p, cur, c1, c2, best = members(states)
+            row, at = np.repeat(np.arange(len(counts)), counts), p + cur
+            fits = at + (1 << level) <= sizes[row]
+            here = ((np.cumsum(sizes) - sizes)[row] + at)[fits]
+            k1, k2 = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+            k1[fits] = mixed(c1[fits].view(np.uint64), na[here], 5 + level).view(np.int64)
+            k2[fits] = mixed(c2[fits].view(np.uint64), nb[here], 105 + level).view(np.int64)
+            columns = [batch["uid"].take(pa.array(row)), *map(pa.array, (p, cur, c1, c2, best, fits, k1, k2))]
+            yield pa.record_batch(columns, ["uid", "p", "cur", "c1", "c2", "best", "fits", "k1", "k2"])
 
     return run
 
@@ -161,7 +183,7 @@ def shared_prefixes(sequences: DataFrame) -> DataFrame:
     states = states.select("uid", "p", zero.alias("cur"), zero.alias("c1"), zero.alias("c2"), zero.alias("best"))
     for level in reversed(range(max(1, int(longest)).bit_length())):
         by = states.groupBy("uid").agg(F.collect_list(F.struct("p", "cur", "c1", "c2", "best")).alias("states"))
-        tried = by.join(sequences.select("uid", "a", "b"), "uid").select("uid", "a", "b", "states").mapInPandas(candidates(level), f"{STATE}, fits boolean, k1 long, k2 long")
+        tried = by.join(sequences.select("uid", "a", "b"), "uid").select("uid", "a", "b", "states").mapInArrow(candidates(level), f"{STATE}, fits boolean, k1 long, k2 long")
         tried = checkpoint(tried.withColumn("place", F.col("uid").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("p").cast("decimal(20,0)")))
         met = checkpoint(tried.where("fits").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1"))
         inner = joined_evenly(tried.where("fits"), met, ["k1", "k2"], F.xxhash64("uid", "p"), "left")
@@ -172,23 +194,27 @@ def shared_prefixes(sequences: DataFrame) -> DataFrame:
     return states.groupBy("uid", "p").agg(F.max("best").alias("best")).where("best > 0")
 
 
-def deleted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Line ranges that go; rows: a sequence with its shared prefixes."""
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            w = np.concatenate([[0], np.cumsum(np.asarray(r.w, np.int64))])
-            gone = np.zeros(len(w), np.int64)
-            for s in r.found:
-                p, n = int(s["p"]), int(s["best"])
-                if w[p + n] - w[p] >= MIN_WORDS:
-                    gone[p] += 1
-                    gone[p + n] -= 1
-            inside = np.concatenate([[0], np.cumsum(gone)[:-1] > 0, [0]]).astype(np.int8)
-            step = np.diff(inside)
-            for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
-                out.append((r.own, r.at + a, r.at + b))
-        yield pd.DataFrame(out, columns=["own", "start", "end"])
+        sizes, words = flat(batch["w"])
+        counts, found = flat(batch["found"])
+        p, n = members(found)
+        # every sequence has a place more than lines, so that a range can end behind its last line
+        base = np.cumsum(sizes + 1) - (sizes + 1)
+        before = np.zeros(int((sizes + 1).sum()), np.int64)
+        before[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = words.to_numpy(zero_copy_only=False)
+        before = np.cumsum(before)
+        start = np.repeat(base, counts) + p
+        enough = before[start + n] - before[start] >= MIN_WORDS
+        gone = np.zeros(len(before), np.int64)
+        np.add.at(gone, start[enough], 1)
+        np.add.at(gone, (start + n)[enough], -1)
+        step = np.diff((np.cumsum(gone) > 0).astype(np.int8), prepend=0)
+        first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        of = np.searchsorted(base, first, "right") - 1
+        shift = batch["at"].to_numpy(zero_copy_only=False)[of] - base[of]
+        yield pa.record_batch([batch["own"].take(pa.array(of)), pa.array(first + shift, pa.int32()), pa.array(end + shift, pa.int32())], ["own", "start", "end"])
 
 
 def marks(docs: DataFrame) -> DataFrame:
@@ -205,12 +231,12 @@ def marks(docs: DataFrame) -> DataFrame:
     lines = whole.select("x", "doc_id", "own", F.posexplode(F.arrays_zip("h", "g", "w")).alias("i", "l")).select("x", "doc_id", "own", "i", "l.*")
     rows = joined_evenly(lines, again, ["h"], F.xxhash64("own", "i"), "inner")
     rows = rows.groupBy("x", "doc_id", "own").agg(F.sum("w").alias("s"), F.sort_array(F.collect_list(F.struct("i", "h", "g", "w"))).alias("lines"))
-    rows = rows.where(F.col("s") >= MIN_WORDS).select("x", F.col("doc_id").cast("string").alias("doc_id"), "own", "lines").mapInPandas(segments, SEGMENT)
+    rows = rows.where(F.col("s") >= MIN_WORDS).select("x", F.col("doc_id").cast("string").alias("doc_id"), "own", "lines").mapInArrow(segments, SEGMENT)
     rows = rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
     # a number that rises in corpus order, fixed by the checkpoint
     sequences = checkpoint(rows.orderBy("x", "doc_id", "own", "at").withColumn("uid", F.monotonically_increasing_id()))
     prefixes = shared_prefixes(sequences.select("uid", "a", "b", "r")).groupBy("uid").agg(F.collect_list(F.struct("p", "best")).alias("found"))
-    gone = prefixes.join(sequences.select("uid", "own", "at", "w"), "uid").select("own", "at", "w", "found").mapInPandas(deleted, "own binary, start int, end int")
+    gone = prefixes.join(sequences.select("uid", "own", "at", "w"), "uid").select("own", "at", "w", "found").mapInArrow(deleted, "own binary, start int, end int")
     gone = gone.groupBy("own").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     each = slim.select("doc_id", "own", F.size("w").alias("n_lines"), F.aggregate("w", F.lit(0), lambda s, x: s + x).alias("n_words")).distinct()
     each = each.join(first, "own", "left").join(gone, "own", "left")
