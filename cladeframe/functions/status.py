@@ -28,6 +28,19 @@ def clade_of(status: Column, clade_id: Column) -> Column:
     return F.when(status.isin(IDENTITY, RESOLUTION), clade_id)
 
 
+def clade_text(clade_id: Column) -> Column:
+    return F.format_string("Clade: %d", clade_id)
+
+
+def adherence_text(clade_id: Column, one: Column, rest: Column) -> Column:
+    return F.format_string("AdherenceTest: %s - %d - %d", clade_text(clade_id), one, rest)
+
+
+def first_word(text: Column) -> Column:
+    """What stands before the first white space inside a text, as in a size with its unit."""
+    return F.regexp_extract(text, r"^\s*(\S+)", 1)
+
+
 def clamp(coverage: float) -> float:
     return min(1.0, max(0.0, coverage))
 

@@ -7,12 +7,13 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import murmur
 from ..functions import seq as S
 from ..functions import status as X
+from ..functions import telemetry
 from ..operators import annotate, describe, export
 from ..operators import index as I
 from ..operators import place as P
@@ -320,12 +321,34 @@ def kmer_hashes(spark: SparkSession, d: str) -> DataFrame:
     return kmers.select("kmer", murmur.hash_column(F.col("kmer")).alias("hash"))
 
 
+def place_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return placed(spark, d).select("query", telemetry.outcome(F.col("status")).alias("code"))
+
+
+def adherence_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of each level as texts, the one with the most k-mers first."""
+    rows = P.adherence(*found(spark, d))
+    order = Window.partitionBy("query", "parent_id").orderBy(F.desc("one"), "node_id")  # a query's siblings
+    return rows.select("query", "parent_id", F.row_number().over(order).alias("place"), X.adherence_text(F.col("node_id"), F.col("one"), F.col("rest")).alias("text"))
+
+
+def index_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """K-mers of the index that some query has, by bucket."""
+    asked = P.query_kmers(L.queries(spark, d), K).select("kmer")
+    return index(spark, d).join(asked, "kmer", "left_semi").groupBy("minimizer").agg(F.count("*").alias("n_kmers")).select(bucket_text(), "n_kmers")
+
+
+def first_words(spark: SparkSession, d: str) -> DataFrame:
+    return L.table(spark, d, "part").select("p_partkey", X.first_word(F.col("p_type")).alias("word"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = (
         "seq_sanitize seq_revcomp seq_kmers_forward seq_kmers_both kmer_minimizer_buckets kmer_minimizer_zero query_too_short tree_nodes tree_collapse tree_collapse_geography tree_closure "
         "tree_path_to_root tree_leaf_paths tree_kind_counts tree_children_inner header_leaf_join header_leaf_missing index_build index_build_shifted describe_db overlap_counts root_coverage "
         "node_hits one_vs_rest one_vs_rest_no_intersection level_winners place_sequences place_remove_intersection place_query_coverage place_max_iterations place_status_summary "
         "place_unclassifiable place_annotated place_json place_errors jobs_pending jobs_model_lookup runtime_stats fasta_roundtrip stream_jobs model_roundtrip newick_parse "
-        "fasta_text record_numbers coverage_clamp annotation_load tree_yaml_roundtrip place_yaml kmer_hashes"
+        "fasta_text record_numbers coverage_clamp annotation_load tree_yaml_roundtrip place_yaml kmer_hashes "
+        "place_outcomes adherence_texts index_overlap first_words"
     )
     return {n: globals()[n] for n in names.split()}

@@ -135,5 +135,10 @@ def oracle_sql() -> dict[str, str]:
         "coverage_clamp": "select p_partkey, 0::bigint below, round(p_size * 0.7::double)::bigint inside, p_size::bigint above from part",
         "annotation_load": sql("select id clade, 'SciName' tag, lang value from lng union all select id, 'Rank', source from src", "src"),
         "tree_yaml_roundtrip": sql("select node_id, parent_id, kind, name, support from geo", "geo"),
+        "place_outcomes": sql(f"select query, case status when 'MaxResolutionReached' then 'UCPLACE0015' when 'IdentityFound' then 'UCPLACE0016' end code from ({p})"),
+        "adherence_texts": sql("""select query, parent_id, (row_number() over (partition by qid, parent_id order by one desc, node_id))::int place,
+            'AdherenceTest: Clade: ' || node_id || ' - ' || one || ' - ' || rest as text from adh join qry using (qid)""", "adh"),
+        "index_overlap": sql(f"select {BUCKET} minimizer, count(distinct kmer) n_kmers from ix where kmer in (select kmer from qkm) group by 1", "qkm"),
+        "first_words": r"select p_partkey, regexp_extract(p_type, '^\s*(\S+)', 1) word from part",
         "place_yaml": sql(f"select query, {code} code from ({p}) where status <> 'Error'"),
     }
