@@ -1,4 +1,4 @@
-"""Command line: build-db, place, describe-db, convert tree|kmers|database, watch."""
+"""Command line: build-db, place, describe-db, convert tree|kmers|database, watch, serve."""
 
 from __future__ import annotations
 
@@ -12,8 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from . import api
+from . import api, service
 from .functions import seq as S
+from .functions.telemetry import JsonLines
 from .operators import tree as T
 from .sources import model_store, newick
 from .sources import yaml_io as Y
@@ -45,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     place.add_argument("-m", "--match-coverage", type=float, default=0.7)
     place.add_argument("-r", "--remove-intersection", action="store_true")
     place.add_argument("-f", "--force", action="store_true")
+    place.add_argument("--parallel", action="store_true", help="write folders of JSON lines and of errors, a file a task, instead of one file on the driver")
     describe = commands.add_parser("describe-db")
     describe.add_argument("database")
     describe.add_argument("-f", "--format", choices=("tsv", "json", "yaml"), default="tsv")
@@ -65,6 +67,8 @@ def parser() -> argparse.ArgumentParser:
     watch = commands.add_parser("watch")
     watch.add_argument("--config-file", required=True)
     watch.add_argument("--once", action="store_true")
+    serve = commands.add_parser("serve")
+    serve.add_argument("--config-file", required=True)
     return top
 
 
@@ -73,13 +77,18 @@ def load(spark: SparkSession, path: str) -> model_store.Model:
 
 
 def logged(args: argparse.Namespace) -> None:
-    form = '{"timestamp":"%(asctime)s","level":"%(levelname)s","message":"%(message)s"}' if args.log_format == "jsonl" else "%(asctime)s %(levelname)s %(message)s"
-    logging.basicConfig(level=args.log_level.upper(), filename=args.log_file, format=form, stream=None if args.log_file else sys.stderr)
+    handler = logging.FileHandler(args.log_file) if args.log_file else logging.StreamHandler(sys.stderr)
+    handler.setFormatter(JsonLines() if args.log_format == "jsonl" else logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    logging.basicConfig(level=args.log_level.upper(), handlers=[handler])
 
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logged(args)
+    if args.command == "serve":
+        with service.server(Y.Service.read(args.config_file)) as bound:
+            bound.serve_forever()
+        return 0
     spark = SparkSession.builder.master(args.master or os.environ.get("MASTER") or f"local[{args.threads}]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     began = time.time()
     if args.command == "build-db":
@@ -88,14 +97,17 @@ def main(argv: list[str] | None = None) -> int:
         model = load(spark, args.database)
         notes = Y.read_annotations(spark, args.annotations) if args.annotations else None
         found = api.place_sequences(spark, args.query, model, notes, args.iterations, args.match_coverage, args.remove_intersection)
-        api.write(found, args.output, args.out_format, args.force, model.nodes)
+        if args.parallel:
+            api.write_parallel(found, args.output, args.force)
+        else:
+            api.write(found, args.output, args.out_format, args.force, model.nodes)
     elif args.command == "describe-db":
         found = api.describe(load(spark, args.database))
         print(json.dumps(found, indent=2) if args.format == "json" else Y.dump(found) if args.format == "yaml" else "\n".join(f"{k}\t{v}" for k, v in found.items()))
     elif args.command == "watch":
-        service = Y.Service.read(args.config_file)
-        serve = service.folders().serve_directory
-        watcher.watch(spark, serve, service, f"{serve}/.watcher", args.once).awaitTermination()
+        settings = Y.Service.read(args.config_file)
+        serve = settings.folders().serve_directory
+        watcher.watch(spark, serve, settings, f"{serve}/.watcher", args.once).awaitTermination()
     elif args.what == "tree":
         nodes = T.collapse(newick.read(args.tree).nodes(spark), args.min_branch_support)
         text = Y.tree_text([r.asDict() for r in nodes.collect()], args.format)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions import telemetry
 from .operators import describe as D
 from .operators import export
 from .operators import index as I
@@ -44,5 +47,22 @@ def describe(model: model_store.Model) -> dict:
     }
 
 
+@contextmanager
+def logged_run(placements: DataFrame) -> Iterator[None]:
+    run = telemetry.run_id()
+    telemetry.event(telemetry.STARTED, run=run)
+    if "annotations" in placements.columns:
+        telemetry.event(telemetry.ANNOTATED, run=run)
+    yield
+    telemetry.event(telemetry.ENDED, run=run)
+
+
 def write(placements: DataFrame, out: str, form: str = "yaml", overwrite: bool = False, nodes: DataFrame | None = None) -> Path:
-    return export.write_file(placements, out, form, overwrite, nodes)
+    with logged_run(placements):
+        return export.write_file(placements, out, form, overwrite, nodes)
+
+
+def write_parallel(placements: DataFrame, out: str, overwrite: bool = False) -> None:
+    """Results of any number: the folders out/result (JSON lines) and out/error, written by the executors."""
+    with logged_run(placements):
+        export.write_results(placements, out, overwrite)

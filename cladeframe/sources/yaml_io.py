@@ -100,8 +100,11 @@ class Settings:
         names = {f.name for f in fields(cls)}
         return cls(**{n: found[k] for n in names for k in (camel(n), n) if k in found})
 
+    def shown(self) -> dict:
+        return {camel(f.name): v for f in fields(self) if (v := getattr(self, f.name)) is not None}
+
     def text(self) -> str:
-        return dump({camel(f.name): v for f in fields(self) if (v := getattr(self, f.name)) is not None})
+        return dump(self.shown())
 
 
 @dataclass
@@ -148,11 +151,12 @@ class Model(Settings):
 
 @dataclass
 class Service(Settings):
-    """Settings of the watcher and the service layer."""
+    """Settings of the watcher and of the HTTP service (server: address and port)."""
 
     fs: dict
     models: list
     watcher: dict | None = None
+    server: dict | None = None
 
     def folders(self) -> Folders:
         return Folders.of(self.fs)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import telemetry
 from ..operators import annotate, export, place
 from ..operators import tree as T
 from ..sources import fasta, files, model_store
@@ -72,7 +73,10 @@ def handle(spark: SparkSession, folder: Path, service: Y.Service) -> str:
                 claim.write(Y.dump({"msg": f"Processing the query file {job.query_file_id} with model {job.model_id}"}))
         except FileExistsError:
             return "taken"
-        out = run_job(spark, job, folder, service)
+        with telemetry.job_log(folder / names.logging_file_name):
+            telemetry.event(telemetry.STARTED, job=job.name)
+            out = run_job(spark, job, folder, service)
+            telemetry.event(telemetry.ENDED, job=job.name)
         marks["success"].write_text(Y.dump({"msg": f"Results are in {out.name}"}))
         return "success"
     except Exception as error:  # noqa: BLE001  whatever fails is the job's result

@@ -99,9 +99,21 @@ def test_watcher_runs_pending_jobs_once(spark, model, tmp_path):
     assert [r.name for r in files.listing(spark, str(job / "input")).collect()] == ["q.fasta"]
 
 
+def test_parallel_results(spark, model, tmp_path):
+    made, seqs, _ = model
+    (tmp_path / "q.fasta").write_text(f">q1\n{seqs['a']}\n>short\nACG\n")
+    found = api.place_sequences(spark, str(tmp_path / "q.fasta"), made)
+    api.write_parallel(found, str(tmp_path / "out"))
+    (line,) = spark.read.text(str(tmp_path / "out" / "result")).collect()
+    assert json.loads(line.value)["query"] == "q1"
+    assert spark.read.text(str(tmp_path / "out" / "error")).count() == 1
+    with pytest.raises(Exception, match="already exists"):
+        api.write_parallel(found, str(tmp_path / "out"))
+
+
 def test_command_line_parses():
     args = cli.parser().parse_args(["place", "q.fasta", "-d", "m", "-o", "r", "-r"])
-    assert args.iterations == 1000 and args.remove_intersection
+    assert args.iterations == 1000 and args.remove_intersection and not args.parallel
     assert cli.parser().parse_args(["convert", "tree", "t.nwk"]).min_branch_support == 95
 
 
