@@ -73,6 +73,20 @@ def path_to_root(nodes: DataFrame) -> DataFrame:
     return with_self(closure(nodes), nodes).select("node_id", "anc_id")
 
 
+def preorder(nodes: DataFrame) -> DataFrame:
+    """Adds depth, has_children and rank: by rank, a node stands before all below it, and siblings by child_ord and id.
+
+    A node whose parent is no inner node of the table is a root.
+    """
+    step = F.struct(F.col("child_ord").isNull().alias("last"), "child_ord", "node_id")
+    inner = checkpoint(nodes.where(F.col("kind") != LEAF).dropDuplicates(["node_id"]))
+    steps = with_self(closure(inner), inner).join(inner.select(F.col("node_id").alias("anc_id"), step.alias("step")), "anc_id")
+    up = steps.groupBy(F.col("node_id").alias("parent_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dist", "step")), asc=False), lambda x: x["step"]).alias("up"))
+    parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct().withColumn("has_children", F.lit(True))
+    rows = nodes.join(up, "parent_id", "left").join(parents, "node_id", "left").withColumn("rank", F.when(F.col("up").isNull(), F.array(step)).otherwise(F.concat("up", F.array(step))))
+    return rows.select(*nodes.columns, (F.size("rank") - 1).alias("depth"), F.coalesce("has_children", F.lit(False)).alias("has_children"), "rank")
+
+
 def kind_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("kind").agg(F.count("*").alias("n"))
 

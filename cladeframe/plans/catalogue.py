@@ -19,7 +19,7 @@ from ..operators import index as I
 from ..operators import place as P
 from ..operators import tree as T
 from ..runtime import checkpoint, numbered, shared_dir
-from ..sources import fasta, model_store, newick
+from ..sources import fasta, model_store, newick, tree_yaml
 from ..sources import yaml_io as Y
 from ..streaming import watcher
 from . import lens as L
@@ -300,11 +300,9 @@ def annotation_load(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_yaml_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The tree of places written as nested YAML and read again."""
-    with tempfile.TemporaryDirectory() as folder:
-        at = Path(folder, "tree.yaml")
-        at.write_text(Y.tree_text([r.asDict() for r in L.geography(spark, d).collect()]))
-        rows = Y.read_tree(str(at))
-    return spark.createDataFrame([tuple(r.values()) for r in rows], T.NODES).select("node_id", "parent_id", "kind", "name", "support")
+    at = scratch(spark, "tree")
+    tree_yaml.write(L.geography(spark, d), at)
+    return tree_yaml.read(spark, at).select("node_id", "parent_id", "kind", "name", "support")
 
 
 def place_yaml(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 
 from cladeframe.operators import tree as T
-from cladeframe.sources import newick
+from cladeframe.plans import catalogue, oracles
+from cladeframe.sources import newick, tree_yaml
 from cladeframe.sources import yaml_io as Y
 
 TEXT = "(((A:0.1,B:0.2)0.7:0.5,(E:0.1,F:0.2)0.95:0.3)0.98:0.1,(C:0.3,'D d':0.4)0.99:0.5);"
@@ -77,3 +78,65 @@ def test_midpoint_root_balances_the_longest_path():
     far = sorted((depth(r["node_id"]) for r in rows if r["kind"] == "LEAF"), reverse=True)
     assert far[0] == pytest.approx(far[1]) == pytest.approx(5.5)
     assert sorted(r["name"] for r in rows if r["kind"] == "LEAF") == ["a", "b", "c"]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k, v in zip(held, ("70", "0"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+ODD = [None, "", "a b", " - id: 7", "- id: 7", "id: 7", "a\n- id: 3\n", "x\r\ny", "'", '"', "null", "12", "1.0", "~", "#", "a: b", "ß\u2028\x85", "\ufeff", "\x07", "😀", "---", "y" * 300, "w " * 100]
+
+
+def test_tree_parts_round_trip_wherever_files_are_cut(spark, tmp_path, tiny_splits):
+    rng = random.Random(6)
+    rows = [{"node_id": 0, "parent_id": None, "kind": "ROOT", "name": None, "support": None, "length": 0.0, "child_ord": 0}]
+    for i in range(1, 150):
+        # half of the time on below the last inner node, so paths get long
+        ups = [r for r in rows if r["kind"] != "LEAF"]
+        up = rng.choice([ups[-1], rng.choice(ups)])["node_id"]
+        n = sum(r["parent_id"] == up for r in rows)
+        rows.append({"node_id": i, "parent_id": up, "kind": rng.choice(["NODE", "LEAF"]), "name": ODD[i % len(ODD)], "support": rng.choice([None, 99.0, 1e22, 1e-7, float("inf")]), "length": rng.random(), "child_ord": n})
+    nodes = frame(spark, rng.sample(rows, len(rows)))
+    tree_yaml.write(nodes.repartition(7), at := str(tmp_path / "tree"))
+    assert [r.asDict() for r in tree_yaml.read(spark, at).orderBy("node_id").collect()] == rows
+    text = "".join(p.read_text() for p in sorted((tmp_path / "tree").glob("part-*")))
+    assert Y.load(text) == T.nested(rows)
+    assert spark.read.text(at).rdd.getNumPartitions() > 100
+
+
+def test_tree_parts_keep_roots_orphans_and_copies(spark, tmp_path):
+    rows = [(0, None, "ROOT"), (1, 0, "NODE"), (1, 0, "NODE"), (2, 1, "LEAF"), (2, 1, "LEAF"), (3, 77, "LEAF"), (4, None, "LEAF"), (None, 1, "LEAF"), (5, 78, "NODE"), (6, 5, "NODE"), (7, 6, "LEAF")]
+    tree_yaml.write(frame(spark, [dict(zip("ipknslo", (*r, None, None, None, None), strict=True)) for r in rows]), at := str(tmp_path / "tree"))
+    got = tree_yaml.read(spark, at).select("node_id", "parent_id", "kind").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows))
+    (tmp_path / "bad").write_text("root:\n  id: 0\n  kind: ROOT\n")
+    with pytest.raises(ValueError, match="before the first node"):
+        tree_yaml.read(spark, str(tmp_path / "bad"))
+
+
+def test_yaml_round_trip_query_leaves_nodes_to_the_executors(spark, tmp_path, monkeypatch):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    kind = pa.schema([("c_custkey", pa.int64()), ("c_name", pa.string()), ("c_nationkey", pa.int32()), ("c_acctbal", pa.float64())])
+    customers = [{"c_custkey": i, "c_name": None if i == 5 else f"Customer#{i}", "c_nationkey": None if i == 3 else 40 if i == 4 else i % 3, "c_acctbal": i / 7} for i in range(3000)]
+    pq.write_table(pa.Table.from_pylist(customers, kind), tmp_path / "customer.parquet")
+    for t in ("region", "nation"):
+        (tmp_path / f"{t}.parquet").write_bytes(open(f"/root/testdata/sf0.001/{t}.parquet", "rb").read())
+    kind = type(spark.range(1))
+    seen, collect = [], kind.collect
+    with monkeypatch.context() as m:
+        m.setattr(kind, "collect", lambda df: seen.append(len(rows := collect(df))) or rows)
+        got = catalogue.tree_yaml_roundtrip(spark, str(tmp_path))
+    assert max(seen, default=0) < 100
+    db = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        db.sql(f"create view {t} as from '{tmp_path}/{t}.parquet'")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, db.sql(oracles.oracle_sql()["tree_yaml_roundtrip"]).fetchall()))
