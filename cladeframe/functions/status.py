@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +43,11 @@ def first_word(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*(\S+)", 1)
 
 
-def clamp(coverage: float) -> float:
+def clamp(coverage: float | Decimal) -> float | Decimal:
     return min(1.0, max(0.0, coverage))
 
 
-def expected_coverage(matched: Column, coverage: float) -> Column:
-    """Matched k-mers times coverage, rounded half up."""
+def expected_coverage(matched: Column, coverage: float | Decimal) -> Column:
+    """Matched k-mers times coverage, rounded half up: of doubles as in the reference, where 45 * 0.7 is
+    under 31.5 and gives 31, or exactly if coverage is a Decimal, where it gives 32."""
     return F.round(matched * F.lit(clamp(coverage)), 0).cast("long")

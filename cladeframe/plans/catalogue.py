@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from decimal import Decimal
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -155,7 +156,7 @@ def overlap_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def root_coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = P.matched(found(spark, d)[0])
-    expected = X.expected_coverage(F.col("matched"), 0.7)
+    expected = X.expected_coverage(F.col("matched"), Decimal("0.7"))
     return rows.select("query", "matched", expected.alias("expected"), (F.col("matched") >= expected).alias("enough"))
 
 

@@ -1,10 +1,12 @@
 import random
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from cladeframe.functions import murmur
 from cladeframe.functions import seq as S
 from cladeframe.functions import status as X
+from cladeframe.plans import catalogue
 
 
 def one(spark, text, column):
@@ -55,3 +57,14 @@ def test_expected_coverage_rounds_half_up(spark):
     rows = spark.createDataFrame([(1,), (5,)], "m long").select(X.expected_coverage(F.col("m"), 0.5).alias("e")).collect()
     assert [r.e for r in rows] == [1, 3]
     assert X.clamp(7) == 1.0 and X.clamp(-1) == 0.0
+
+
+def test_root_coverage_takes_halves_exactly(spark, monkeypatch):
+    counts = [*range(1, 4000), 10**9 + 5, 10**12 + 5]
+    tally = spark.createDataFrame([(f"q{m}", None, m) for m in counts], "query string, node_id long, one long")
+    monkeypatch.setattr(catalogue, "found", lambda spark, d: (tally, None))
+    got = {r.matched: (r.expected, r.enough) for r in catalogue.root_coverage(spark, "").collect()}
+    assert got == {m: ((7 * m + 5) // 10, True) for m in counts} and got[45] == (32, True)
+    # of doubles, where 45 * 0.7 is under 31.5, as in the reference
+    rows = spark.range(45, 46).select(*[X.expected_coverage(F.col("id"), c).alias(n) for n, c in (("near", 0.7), ("exact", Decimal("0.7")), ("above", Decimal("1.7")))]).first()
+    assert tuple(rows) == (31, 32, 45)
