@@ -63,6 +63,12 @@ def build(records: DataFrame, nodes: DataFrame, k: int = 35, m: int = 4, pairing
     return grouped.select(S.bucket(F.col("kmer"), k, m).alias("minimizer"), "kmer", F.transform("c", clade).cast(CLADES).alias("clades"))
 
 
+def build_root(records: DataFrame, nodes: DataFrame, k: int = 35, missing: str = "error") -> DataFrame:
+    """(kmer, clades) as build() has them, but for the root alone: k-mers without the clades below, which are most of the work."""
+    paired = leaves_of(records.select("header", "seq"), nodes, missing).select("seq")
+    return S.explode_kmers(paired, k).distinct().select("kmer", F.array().cast(CLADES).alias("clades"))
+
+
 def kmer_nodes(index: DataFrame, root_id: int = 0) -> DataFrame:
     """The long form (minimizer, kmer, node_id) with the root's rows."""
     ids = F.concat(F.array(F.lit(root_id).cast("long")), F.transform("clades", lambda x: x["node_id"]))

@@ -155,7 +155,8 @@ def overlap_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def root_coverage(spark: SparkSession, d: str) -> DataFrame:
-    rows = P.matched(found(spark, d)[0])
+    kmers = I.build_root(L.records(spark, d), L.nodes(spark, d), K)
+    rows = P.matched(P.tallies(P.hits(L.queries(spark, d), kmers, K)))
     expected = X.expected_coverage(F.col("matched"), Decimal("0.7"))
     return rows.select("query", "matched", expected.alias("expected"), (F.col("matched") >= expected).alias("enough"))
 

@@ -62,8 +62,8 @@ def test_expected_coverage_rounds_half_up(spark):
 def test_root_coverage_takes_halves_exactly(spark, monkeypatch):
     counts = [*range(1, 4000), 10**9 + 5, 10**12 + 5]
     tally = spark.createDataFrame([(f"q{m}", None, m) for m in counts], "query string, node_id long, one long")
-    monkeypatch.setattr(catalogue, "found", lambda spark, d: (tally, None))
-    got = {r.matched: (r.expected, r.enough) for r in catalogue.root_coverage(spark, "").collect()}
+    monkeypatch.setattr(catalogue.P, "matched", lambda _: tally.select("query", F.col("one").alias("matched")))
+    got = {r.matched: (r.expected, r.enough) for r in catalogue.root_coverage(spark, "/root/testdata/sf0.001").collect()}
     assert got == {m: ((7 * m + 5) // 10, True) for m in counts} and got[45] == (32, True)
     # of doubles, where 45 * 0.7 is under 31.5, as in the reference
     rows = spark.range(45, 46).select(*[X.expected_coverage(F.col("id"), c).alias(n) for n, c in (("near", 0.7), ("exact", Decimal("0.7")), ("above", Decimal("1.7")))]).first()

@@ -93,3 +93,15 @@ def test_limits_and_errors(spark):
         I.build(records.withColumn("header", F.lit("b")), nodes, K, 2).count()
     moved = records.unionByName(spark.createDataFrame([(1, "a", "TTTTTTTTTT")], records.schema))
     assert {r.t for r in I.build(moved, nodes, K, 2, "shifted").select(S.unpacked(F.col("kmer"), K).alias("t")).collect()} == both("ACGTACGTTGCA")
+
+
+def test_root_index_matches_as_the_whole_index_does(spark):
+    rng = random.Random(8)
+    nodes = spark.createDataFrame([(0, None, T.ROOT, None), (1, 0, T.NODE, None), *((i, i % 2, T.LEAF, f"s{i}") for i in range(2, 8))], "node_id long, parent_id long, kind string, name string")
+    nodes = nodes.selectExpr("*", "null support", "1d length", "0 child_ord")
+    records = spark.createDataFrame([(f"s{i}", "".join(rng.choices("ACGT", k=30 * (i % 3)))) for i in range(2, 8)], "header string, seq string")
+    asked = spark.createDataFrame([(f"q{i}", "".join(rng.choices("ACGT", k=40))) for i in range(9)] + [("none", "")], "query string, seq string")
+    whole, root = (sorted(P.matched(P.tallies(P.hits(asked, x, K))).collect()) for x in (I.build(records, nodes, K), I.build_root(records, nodes, K)))
+    assert whole == root and len(root) == 9
+    with pytest.raises(Exception, match="no leaf has the name"):
+        I.build_root(records, nodes.where("node_id < 5"), K).collect()
